@@ -16,3 +16,220 @@ for _n in L.WINDOWS:
     SQL[f"driver_statistic_{_n}"] = L.query(L.RESULTS, L.KNOWN, L.statistic(_n), select=f"SELECT * FROM stat_{_n}")
 SQL["driver_all_statistic"] = L.query(L.RESULTS, L.wide(), select="SELECT * FROM wide")
 SQL["tb_abt"] = L.query(L.RESULTS, L.labelled(), select="SELECT * FROM abt")
+
+# --- as-of calendar
+SQL["asof_sessions"] = L.query(
+    L.RESULTS,
+    L.KNOWN,
+    select="""
+    SELECT dt_ref, COUNT(*) AS qty_rows, COUNT(DISTINCT Year * 100 + RoundNumber) AS qty_rounds,
+           COUNT(DISTINCT DriverId) AS qty_drivers
+    FROM known GROUP BY dt_ref""",
+)
+SQL["eligible_drivers"] = L.query(L.RESULTS, L.KNOWN, select="SELECT dt_ref, DriverId FROM eligible")
+SQL["min_season_filter"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year, Mode, COUNT(*) AS rows FROM results
+    WHERE Year BETWEEN (SELECT MIN(Year) FROM results) AND 1999 GROUP BY Year, Mode""",
+)
+SQL["season_rounds"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year, COUNT(DISTINCT RoundNumber) AS qty_rounds, COUNT(DISTINCT CAST(Date AS DATE)) AS qty_dates,
+           COUNT(DISTINCT DriverId) AS qty_drivers
+    FROM results WHERE Year BETWEEN 1980 AND 2000 GROUP BY Year""",
+)
+SQL["consolidate_windows"] = L.query(L.RESULTS, L.wide((5, 10)), select="SELECT * FROM wide")
+
+# --- training sets
+_SPLIT = """
+dates AS (
+  SELECT dt_ref, row_number() OVER (PARTITION BY year(dt_ref) ORDER BY dt_ref DESC) - 1 AS newer
+  FROM (SELECT DISTINCT dt_ref FROM abt)
+),
+sampled AS (SELECT abt.* FROM abt JOIN (SELECT dt_ref FROM dates WHERE newer > 4) USING (dt_ref)),
+split AS (
+  SELECT 'train' AS split, * FROM sampled WHERE year(dt_ref) < 2000
+  UNION ALL SELECT 'test', * FROM sampled WHERE year(dt_ref) = 2000
+  UNION ALL SELECT 'oot', * FROM abt WHERE year(dt_ref) = 2001
+)"""
+_TWO = (5, 10)
+SQL["season_tail_sampling"] = L.query(
+    L.RESULTS, L.labelled(_TWO), _SPLIT, select="SELECT dt_ref, DriverId, flChampion FROM sampled"
+)
+SQL["temporal_split"] = L.query(
+    L.RESULTS, L.labelled(_TWO), _SPLIT, select="SELECT dt_ref, DriverId, flChampion, split FROM split"
+)
+SQL["split_sizes"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    select=f"""
+    SELECT split, COUNT(*) AS rows, CAST({len(L.features()) + 3} AS INTEGER) AS columns
+    FROM (SELECT 'all' AS split FROM abt UNION ALL SELECT split FROM split) GROUP BY split""",
+)
+SQL["training_matrix"] = L.query(L.RESULTS, L.labelled(), _SPLIT, select="SELECT * FROM split")
+SQL["null_profile"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    select="SELECT * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, COUNT(*) FILTER (WHERE {c} IS NULL) AS nulls FROM split WHERE split = 'train'"
+        for c in [n for n in L.features() if n.startswith(("avg_", "total_"))] + ["flChampion"]
+    )
+    + ") WHERE nulls > 0",
+)
+SQL["impute_sentinel"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    select="SELECT dt_ref, DriverId, "
+    + ", ".join(f"coalesce({c}, -10000) AS {c}" for c in [*L.features(), "flChampion"])
+    + " FROM abt",
+)
+
+# --- ranking quality
+_CURVE = """
+scored AS (SELECT n_chars, quality FROM labels JOIN documents USING (doc_id)),
+counted AS (
+  SELECT CAST(n_chars AS DOUBLE) AS threshold, SUM(quality) AS pos, SUM(1 - quality) AS neg FROM scored GROUP BY n_chars
+),
+points AS (
+  SELECT threshold, pos, neg,
+         SUM(neg) OVER (ORDER BY threshold DESC) / (SELECT CAST(SUM(1 - quality) AS DOUBLE) FROM scored) AS fpr,
+         SUM(pos) OVER (ORDER BY threshold DESC) / (SELECT CAST(SUM(quality) AS DOUBLE) FROM scored) AS tpr,
+         lead(pos) OVER (ORDER BY threshold DESC) AS next_pos, lead(neg) OVER (ORDER BY threshold DESC) AS next_neg,
+         row_number() OVER (ORDER BY threshold DESC) AS nth
+  FROM counted
+)"""
+_START = "SELECT CAST(NULL AS DOUBLE) AS threshold, CAST(0 AS DOUBLE) AS fpr, CAST(0 AS DOUBLE) AS tpr"
+SQL["roc_curve_all_points"] = L.query(_CURVE, select=f"SELECT threshold, fpr, tpr FROM points UNION ALL {_START}")
+SQL["roc_curve"] = L.query(
+    _CURVE,
+    select=f"""
+    SELECT threshold, fpr, tpr FROM points
+    WHERE nth = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg UNION ALL {_START}""",
+)
+SQL["roc_auc"] = L.query(
+    L.RESULTS,
+    L.labelled(_TWO),
+    _SPLIT,
+    """
+ranks AS (
+  SELECT split, flChampion,
+         rank() OVER (PARTITION BY split ORDER BY total_points_5)
+         + (COUNT(*) OVER (PARTITION BY split, total_points_5) - 1) / 2.0 AS mean_rank
+  FROM split WHERE total_points_5 IS NOT NULL
+),
+sums AS (
+  SELECT split, CAST(SUM(mean_rank) FILTER (WHERE flChampion = 1) AS DOUBLE) AS rank_sum,
+         CAST(SUM(flChampion) AS DOUBLE) AS p, CAST(SUM(1 - flChampion) AS DOUBLE) AS n
+  FROM ranks GROUP BY split
+)""",
+    select="SELECT split, ROUND((rank_sum - p * (p + 1) / 2) / nullif(p * n, 0), 9) AS auc FROM sums",
+)
+
+# --- serving
+_COLOR = """CASE WHEN TeamColor IS NULL THEN '#ffffff' WHEN TeamColor LIKE '#%' THEN lower(TeamColor)
+            ELSE lower('#' || TeamColor) END"""
+_ENTITIES = f"""
+entities AS (
+  SELECT DriverId, TeamName, {_COLOR} AS TeamColor, FullName, TeamId FROM results
+  QUALIFY row_number() OVER (PARTITION BY DriverId ORDER BY Date DESC, TeamName, TeamColor, FullName, TeamId) = 1
+)"""
+_SCORED = f"""{L.wide(_TWO)},{_ENTITIES},
+scored AS (
+  SELECT w.dt_ref, w.DriverId, strftime(w.dt_ref, '%Y-%m-%d') || '_' || w.DriverId AS id,
+         CAST(year(w.dt_ref) AS INTEGER) AS Year, total_points_5 / (1 + total_points_10) AS prob_win,
+         TeamName, TeamColor, FullName, TeamId, w.DriverId || '_' || TeamId AS driver_team_id
+  FROM wide w JOIN entities e ON w.DriverId = e.DriverId
+)"""
+_CHOSEN = """
+best AS (SELECT * FROM scored ORDER BY dt_ref DESC, prob_win DESC NULLS LAST, DriverId LIMIT 5),
+chosen AS (
+  SELECT * FROM scored
+  WHERE driver_team_id IN (SELECT driver_team_id FROM best WHERE driver_team_id IS NOT NULL)
+    AND Year = (SELECT max(Year) FROM scored)
+),
+ids AS (SELECT DISTINCT driver_team_id FROM best WHERE driver_team_id IS NOT NULL)"""
+SQL["entity_dimension"] = L.query(L.RESULTS, _ENTITIES, select="SELECT * FROM entities")
+SQL["format_color"] = L.query(
+    L.RESULTS,
+    select=f"SELECT TeamName, TeamColor, {_COLOR} AS color, COUNT(*) AS rows FROM results GROUP BY ALL",
+)
+SQL["scored_with_team"] = L.query(L.RESULTS, _SCORED, select="SELECT * FROM scored")
+SQL["first_team"] = L.query(
+    L.RESULTS,
+    _SCORED,
+    select="""
+    SELECT DriverId, driver_team_id, dt_ref FROM (
+      SELECT *, row_number() OVER (PARTITION BY DriverId ORDER BY dt_ref, driver_team_id NULLS LAST) AS nth FROM scored
+    ) WHERE nth = 1 AND driver_team_id IS NOT NULL""",
+)
+SQL["top_probability"] = L.query(
+    L.RESULTS, _SCORED, _CHOSEN, select="SELECT dt_ref, DriverId, prob_win, driver_team_id FROM best"
+)
+SQL["season_domain"] = L.query(
+    L.RESULTS,
+    _SCORED,
+    select="SELECT DISTINCT Year, Year = (SELECT max(Year) FROM scored) AS is_default FROM scored",
+)
+SQL["filter_entities_seasons"] = L.query(L.RESULTS, _SCORED, _CHOSEN, select="SELECT * FROM chosen")
+SQL["pivot_probability"] = L.query(
+    L.RESULTS,
+    _SCORED,
+    _CHOSEN,
+    select="""
+    SELECT d.dt_ref, i.driver_team_id, avg(c.prob_win) AS mean_prob_win
+    FROM (SELECT DISTINCT dt_ref FROM chosen) d CROSS JOIN ids i
+    LEFT JOIN chosen c ON c.dt_ref = d.dt_ref AND c.driver_team_id = i.driver_team_id
+    GROUP BY d.dt_ref, i.driver_team_id""",
+)
+SQL["color_lookup"] = L.query(
+    L.RESULTS,
+    _SCORED,
+    _CHOSEN,
+    select="""
+    SELECT CAST(row_number() OVER (ORDER BY driver_team_id) - 1 AS INTEGER) AS pos, driver_team_id, TeamColor
+    FROM ids LEFT JOIN (SELECT driver_team_id, min(TeamColor) AS TeamColor FROM chosen GROUP BY 1) USING (driver_team_id)""",
+)
+
+# --- sources
+SQL["consolidate_results"] = L.query(L.RESULTS, select="SELECT * FROM results")
+SQL["ingest_stream"] = SQL["consolidate_results"]
+SQL["incremental_new_sessions"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year, RoundNumber, Mode, COUNT(*) AS rows FROM results
+    WHERE (Year, RoundNumber, Mode) NOT IN
+          (SELECT DISTINCT (Year, RoundNumber, Mode) FROM results WHERE Year < 2000 AND Mode = 'Race')
+    GROUP BY Year, RoundNumber, Mode""",
+)
+SQL["backfill_years"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year, CASE WHEN Year < 2001 THEN Status ELSE 'stale' END AS Status, COUNT(*) AS rows
+    FROM results GROUP BY ALL""",
+)
+SQL["session_key"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year || '_' || lpad(CAST(RoundNumber AS VARCHAR), 2, '0') || '_' || left(Mode, 1) AS session_key,
+           COUNT(*) AS rows
+    FROM results GROUP BY 1""",
+)
+SQL["durations_to_seconds"] = """
+SELECT event_id,
+       (epoch_us(ts) - epoch_us(CAST(date_trunc('hour', ts) AS TIMESTAMP))) / 1e6 AS Q1,
+       (epoch_us(ts) - epoch_us(CAST(date_trunc('day', ts) AS TIMESTAMP))) / 1e6 AS Q2,
+       (epoch_us(ts) - epoch_us(CAST(date_trunc('month', ts) AS TIMESTAMP))) / 1e6 AS Q3,
+       (epoch_us(ts) - epoch_us(CAST(date_trunc('year', ts) AS TIMESTAMP))) / 1e6 AS Time
+FROM events"""
+SQL["enrich_sessions"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT r.*, Year || ' Grand Prix of ' || n_name AS OfficialEventName, n_name || ' Grand Prix' AS EventName,
+           n_name AS Country, r_name AS Location
+    FROM results r JOIN nation ON RoundNumber = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+)

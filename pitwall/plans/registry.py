@@ -8,14 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwall import schema
-from pitwall.operators import asof, calendar, features
+from pitwall.functions import scalars
+from pitwall.operators import asof, calendar, coverage, features, forest, ranking, serving
 from pitwall.operators import champions as season
-from pitwall.session import stage
-from pitwall.sources.fixture import results
+from pitwall.plans import jobs
+from pitwall.session import stage, staging_path
+from pitwall.sources import layers, raw
+from pitwall.sources.fixture import results, table
+from pitwall.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Split years that suit the seasons of the test data.
+SPLIT = {"train_before": 2000, "test_year": 2000, "oot_year": 2001}
+# Windows of the queries below that need a score but not every feature.
+SCORE_WINDOWS = (5, 10)
+
 
 def query(run: Query) -> Query:
     QUERIES[run.__name__] = run
@@ -28,6 +37,24 @@ def _abt(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = schema.WIN
     return features.label(features.driver_all_statistic(rows, windows), winners)
 
 
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows with a fixed formula in place of the model, so SQL can check them."""
+    rows = results(spark, sf_dir)
+    abt = serving.add_row_id(features.driver_all_statistic(rows, SCORE_WINDOWS)).withColumn(
+        "prob_win", F.col("total_points_5") / (1.0 + F.col("total_points_10"))
+    )
+    scored = abt.select("dt_ref", "DriverId", "id", "Year", "prob_win")
+    return serving.scored_with_team(scored, stage(serving.entity_dimension(rows), "entities"))
+
+
+def _chosen(scored: DataFrame) -> tuple[list[str], list[int]]:
+    """The default selection: the teams of the five most probable rows, newest season.
+    Five rows and one number come to the driver."""
+    top = serving.top_probability(scored.select("dt_ref", "DriverId", "Year", "prob_win", "driver_team_id"))
+    ids = [r["driver_team_id"] for r in top.collect() if r["driver_team_id"] is not None]
+    return ids, [scored.agg(F.max("Year")).first()[0]]
+
+
 # --- season results -----------------------------------------------------------------
 
 
@@ -54,6 +81,28 @@ def last_n_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.last_n_rounds(results(spark, sf_dir), 50)
 
 
+@query
+def asof_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.asof_sessions(results(spark, sf_dir))
+
+
+@query
+def eligible_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.eligible_drivers(results(spark, sf_dir))
+
+
+@query
+def min_season_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = calendar.min_season_filter(results(spark, sf_dir), 1999)
+    return kept.groupBy("Year", "Mode").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def season_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers.publish_view(results(spark, sf_dir), "results")
+    return layers.run_query(spark, "season_rounds", {"year_start": 1980, "year_stop": 2000})
+
+
 # --- statistics ---------------------------------------------------------------------
 
 
@@ -73,6 +122,245 @@ def driver_all_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.driver_all_statistic(results(spark, sf_dir))
 
 
+@query
+def consolidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table by joining stored per-window tables, as the layer job's tables allow."""
+    rows = results(spark, sf_dir)
+    tables = {n: stage(asof.driver_statistic(rows, n), f"statistic_{n}") for n in SCORE_WINDOWS}
+    return features.consolidate(tables)
+
+
 @query
 def tb_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abt(spark, sf_dir)
+
+
+# --- training sets ------------------------------------------------------------------
+
+
+@query
+def season_tail_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abt = _abt(spark, sf_dir, SCORE_WINDOWS)
+    return features.season_tail_sampling(abt.select(*schema.FEATURE_KEY, schema.LABEL))
+
+
+@query
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abt = _abt(spark, sf_dir, SCORE_WINDOWS)
+    return features.temporal_split(abt.select(*schema.FEATURE_KEY, schema.LABEL), **SPLIT)
+
+
+@query
+def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abt = _abt(spark, sf_dir)
+    return features.split_sizes(abt, features.temporal_split(abt, **SPLIT))
+
+
+@query
+def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.training_matrix(features.temporal_split(_abt(spark, sf_dir), **SPLIT))
+
+
+@query
+def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = features.temporal_split(_abt(spark, sf_dir), **SPLIT)
+    train = split.where("split = 'train'")
+    return features.null_profile(train.select(*[c for c in train.columns if c not in (*schema.FEATURE_KEY, "split")]))
+
+
+@query
+def impute_sentinel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.impute_sentinel(_abt(spark, sf_dir))
+
+
+# --- ranking quality ----------------------------------------------------------------
+
+
+def _label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality labels scored by text length."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return labels.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+
+
+@query
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = ranking.roc_curve(_label_scores(spark, sf_dir), "n_chars", "quality")
+    # The start point's infinite threshold is written as null.
+    return curve.withColumn("threshold", F.nullif("threshold", F.lit(float("inf"))))
+
+
+@query
+def roc_curve_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    curve = ranking.roc_curve(_label_scores(spark, sf_dir), "n_chars", "quality", drop_intermediate=False)
+    return curve.withColumn("threshold", F.nullif("threshold", F.lit(float("inf"))))
+
+
+@query
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = features.temporal_split(_abt(spark, sf_dir, SCORE_WINDOWS), **SPLIT)
+    auc = ranking.roc_auc(scored, "total_points_5", schema.LABEL, ["split"])
+    return auc.select("split", F.round("auc", 9).alias("auc"))
+
+
+# --- model --------------------------------------------------------------------------
+
+
+def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+    abt = stage(_abt(spark, sf_dir), "abt")
+    split = features.temporal_split(abt, **SPLIT)
+    return abt, forest.fit(split.where("split = 'train'"), features.feature_columns(abt))
+
+
+@query
+def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the curve of each split for a forest fitted on the training split."""
+    abt, model = _model(spark, sf_dir)
+    scored = forest.predict(model, features.temporal_split(abt, **SPLIT)).select("split", schema.LABEL, "prob_win")
+    return ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
+
+
+@query
+def score_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abt, model = _model(spark, sf_dir)
+    return jobs.score(model, abt, results(spark, sf_dir))
+
+
+@query
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.feature_importance(_model(spark, sf_dir)[1], spark)
+
+
+# --- serving ------------------------------------------------------------------------
+
+
+@query
+def entity_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.entity_dimension(results(spark, sf_dir))
+
+
+@query
+def format_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir).withColumn("color", scalars.format_color(F.col("TeamColor")))
+    return rows.groupBy("TeamName", "TeamColor", "color").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def scored_with_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)
+
+
+@query
+def first_team(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.first_team(_scored(spark, sf_dir))
+
+
+@query
+def top_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.top_probability(_scored(spark, sf_dir).select("dt_ref", "DriverId", "prob_win", "driver_team_id"))
+
+
+@query
+def season_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serving.season_domain(_scored(spark, sf_dir))
+
+
+@query
+def filter_entities_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stage(_scored(spark, sf_dir), "scored")
+    return serving.filter_entities_seasons(scored, *_chosen(scored))
+
+
+@query
+def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default pivot in long form: the names of the pivoted columns depend on the data."""
+    scored = stage(_scored(spark, sf_dir), "scored")
+    ids, seasons = _chosen(scored)
+    pivoted = serving.pivot_probability(serving.filter_entities_seasons(scored, ids, seasons), ids)
+    return pivoted.unpivot(["dt_ref"], sorted(ids), "driver_team_id", "mean_prob_win")
+
+
+@query
+def color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = stage(_scored(spark, sf_dir), "scored")
+    ids, seasons = _chosen(scored)
+    return serving.color_lookup(serving.filter_entities_seasons(scored, ids, seasons), sorted(ids))
+
+
+# --- sources ------------------------------------------------------------------------
+
+
+@query
+def consolidate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as raw session files, then read back as one clean table."""
+    folder = staging_path(spark, "raw")
+    raw.land_sessions(results(spark, sf_dir), folder)
+    return raw.consolidate(spark, folder)
+
+
+@query
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of the file stream: the second takes only the seasons added since."""
+    folder, bronze, checkpoint = (staging_path(spark, n) for n in ("raw", "bronze", "stream"))
+    rows = results(spark, sf_dir)
+    raw.load_sessions(rows.where("Year < 2000"), folder)
+    ingest(spark, folder, bronze, checkpoint)
+    raw.load_sessions(rows, folder)
+    ingest(spark, folder, bronze, checkpoint)
+    return spark.read.schema(schema.RESULTS).parquet(bronze)
+
+
+@query
+def incremental_new_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = results(spark, sf_dir)
+    new = raw.new_sessions(rows, rows.where((F.col("Year") < 2000) & (F.col("Mode") == "Race")))
+    return new.groupBy(*schema.SESSION_KEY).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def backfill_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reload of all seasons before the current one into an out-of-date raw folder."""
+    folder = staging_path(spark, "raw")
+    rows = results(spark, sf_dir)
+    raw.land_sessions(rows.withColumn("Status", F.lit("stale")), folder)
+    raw.load_sessions(rows, folder, reload_data=True, current_year=2001)
+    stored = raw.scan_raw(spark, folder)
+    return stored.groupBy("Year", "Status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def session_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = scalars.session_key(F.col("Year"), F.col("RoundNumber"), scalars.mode_identifier(F.col("Mode")))
+    return results(spark, sf_dir).groupBy(key.alias("session_key")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def durations_to_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = F.col("ts").cast("timestamp")
+    since = {"Q1": "hour", "Q2": "day", "Q3": "month", "Time": "year"}
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", *[(ts - F.date_trunc(unit, ts)).alias(name) for name, unit in since.items()]
+    )
+    return raw.durations_to_seconds(rows)
+
+
+@query
+def enrich_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results without their date get it back, with event texts made up from the nations."""
+    rows = results(spark, sf_dir)
+    nation = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    sessions = (
+        rows.select(*schema.SESSION_KEY, "Date")
+        .distinct()
+        .join(nation, F.col("RoundNumber") == F.col("n_nationkey"))
+        .select(
+            *schema.SESSION_KEY,
+            "Date",
+            F.concat(F.col("Year").cast("string"), F.lit(" Grand Prix of "), "n_name").alias("OfficialEventName"),
+            F.concat("n_name", F.lit(" Grand Prix")).alias("EventName"),
+            F.col("n_name").alias("Country"),
+            F.col("r_name").alias("Location"),
+        )
+    )
+    return raw.enrich_sessions(rows.drop("Date"), stage(sessions, "session_list"))
