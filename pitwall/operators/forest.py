@@ -40,7 +40,12 @@ def pipeline(features: Sequence[str], trees: int = TREES, max_depth: int = MAX_D
 
 
 def fit(train: DataFrame, features: Sequence[str], trees: int = TREES, max_depth: int = MAX_DEPTH) -> PipelineModel:
-    return pipeline(features, trees, max_depth).fit(train.select(schema.LABEL, *features))
+    """Fit on rows spread evenly over the cluster and in a fixed order, as each task draws
+    its own samples: the same rows and seed then give the same forest."""
+    context = train.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = train.repartition(tasks, *schema.FEATURE_KEY).sortWithinPartitions(*schema.FEATURE_KEY)
+    return pipeline(features, trees, max_depth).fit(spread.select(schema.LABEL, *features))
 
 
 def feature_names(model: PipelineModel) -> list[str]:
