@@ -14,6 +14,7 @@ SQL["last_n_rounds"] = L.query(
 )
 for _n in L.WINDOWS:
     SQL[f"driver_statistic_{_n}"] = L.query(L.RESULTS, L.KNOWN, L.statistic(_n), select=f"SELECT * FROM stat_{_n}")
+SQL["driver_statistic_ordered"] = SQL["driver_statistic_5"]
 SQL["driver_all_statistic"] = L.query(L.RESULTS, L.wide(), select="SELECT * FROM wide")
 SQL["tb_abt"] = L.query(L.RESULTS, L.labelled(), select="SELECT * FROM abt")
 

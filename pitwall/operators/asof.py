@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pitwall import schema
 from pitwall.functions import metrics
-from pitwall.operators.calendar import Calendar, calendar
+from pitwall.operators.calendar import calendar, spine_of
 
 
 def entity_sessions(results: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def _changes(visits: DataFrame, windows: Sequence[int]) -> DataFrame:
     )
 
 
-def window_states(results: DataFrame, cal: Calendar, windows: Sequence[int]) -> DataFrame:
+def window_states(results: DataFrame, session_windows: DataFrame, windows: Sequence[int]) -> DataFrame:
     """(DriverId, last_rounds, pos, until, last_year, 45 statistics): the statistics an
     entity has from date position `pos` up to, not including, `until`.
 
@@ -80,11 +80,10 @@ def window_states(results: DataFrame, cal: Calendar, windows: Sequence[int]) ->
     windowing stays inside the partition; an entity holds at most a few rows per
     session date there, however many result rows it had.
     """
-    visits = (
-        entity_sessions(results)
-        .join(cal.session_windows(windows), ["Year", "RoundNumber", "date"])
-        .repartition("DriverId")
+    stays = session_windows.select(
+        "Year", "RoundNumber", "date", F.col("pos").alias("enter"), *[f"leave_{n}" for n in windows]
     )
+    visits = entity_sessions(results).join(stays, ["Year", "RoundNumber", "date"]).repartition("DriverId")
     changes = _changes(_season_cover(visits, windows), windows)
     entity = "PARTITION BY DriverId, last_rounds ORDER BY pos"
     so_far = f"({entity} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -108,18 +107,24 @@ def _spread(states: DataFrame) -> DataFrame:
     return states.withColumn("pos", F.explode(F.expr("sequence(pos, until - 1)")))
 
 
-def _as_of(spread: DataFrame, cal: Calendar) -> DataFrame:
+def _as_of(spread: DataFrame, session_windows: DataFrame) -> DataFrame:
     """Positions to as-of dates, eligible entities only. Rounds are ranked by season
     first, so the newest season inside a window is the entity's newest of all."""
-    return spread.join(cal.spine(), "pos").where(F.col("ref_year") - F.col("last_year") <= schema.SEASON_LAG)
+    return spread.join(spine_of(session_windows), "pos").where(F.col("ref_year") - F.col("last_year") <= schema.SEASON_LAG)
 
 
 def driver_statistic(results: DataFrame, last_rounds: int, year_stop: int | None = None) -> DataFrame:
     """The 45 statistics of every eligible entity over its last `last_rounds` rounds,
     one row per (dt_ref, DriverId)."""
-    cal = calendar(results, year_stop)
-    spread = _spread(window_states(results, cal, [last_rounds]))
-    return _as_of(spread, cal).select(*schema.FEATURE_KEY, *metrics.names())
+    sessions = calendar(results, year_stop).session_windows([last_rounds])
+    spread = _spread(window_states(results, sessions, [last_rounds]))
+    return _as_of(spread, sessions).select(*schema.FEATURE_KEY, *metrics.names())
+
+
+def in_reading_order(statistics: DataFrame) -> DataFrame:
+    """Newest dates first, for reading. Tables are written unsorted: a total order costs
+    a shuffle of every row and is gone with the next read."""
+    return statistics.orderBy(F.col("dt_ref").desc(), "DriverId")
 
 
 def all_windows(
@@ -131,8 +136,8 @@ def all_windows(
     window it is absent from are null. The windows of an entity and date already share
     a partition, so setting them side by side moves no data.
     """
-    cal = calendar(results, year_stop)
-    spread = _spread(window_states(results, cal, windows))
+    sessions = calendar(results, year_stop).session_windows(windows)
+    spread = _spread(window_states(results, sessions, windows))
     # One element per window length, so the list is as short as `windows`.
     gathered = spread.groupBy("DriverId", "pos").agg(
         F.max("last_year").alias("last_year"),
@@ -144,7 +149,7 @@ def all_windows(
         "last_year",
         *[f"try_element_at(filter(found, w -> w.last_rounds = {n}), 1) AS w_{n}" for n in windows],
     ).selectExpr("DriverId", "pos", "last_year", *[f"w_{n}.{name} AS {name}_{n}" for n in windows for name in metrics.names()])
-    return _as_of(wide, cal).select(*schema.FEATURE_KEY, *suffixed(windows))
+    return _as_of(wide, sessions).select(*schema.FEATURE_KEY, *suffixed(windows))
 
 
 def suffixed(windows: Sequence[int]) -> list[str]:

@@ -84,34 +84,48 @@ class Calendar:
         )
 
     def session_windows(self, windows: Sequence[int]) -> DataFrame:
-        """(Year, RoundNumber, date, enter, leave_N...): the positions at which rows of
-        a session date enter every window and leave the window of N. `leave_N` is null
-        where the round is already out of the window on that date."""
+        """(Year, RoundNumber, date, pos, ref_year, in_spine, leave_N...): rows of a session
+        date enter every window at `pos` and leave the window of N at `leave_N`, which is
+        null where the round is already out of the window by then.
+
+        Staged: facts are joined to it, and a join of joins looks far larger to the
+        optimizer than it is. Read from its files, the table is broadcast while it is
+        small and shuffled otherwise.
+        """
         stays = (
             self.ranked_rounds(max(windows))
             .groupBy("Year", "RoundNumber")
             .agg(*[(F.max(F.when(F.col("rn") <= n, F.col("pos"))) + 1).alias(f"leave_{n}") for n in windows])
         )
-        return (
-            self.sessions.join(self.dates.select("date", F.col("pos").alias("enter")), "date")
-            .join(stays, ["Year", "RoundNumber"])
+        table = (
+            self.sessions.join(self.dates, "date")
+            .join(stays, ["Year", "RoundNumber"], "left")
             .select(
                 "Year",
                 "RoundNumber",
                 "date",
-                "enter",
-                *[F.when(F.col(f"leave_{n}") > F.col("enter"), F.col(f"leave_{n}")).alias(f"leave_{n}") for n in windows],
+                "pos",
+                "ref_year",
+                "in_spine",
+                *[F.when(F.col(f"leave_{n}") > F.col("pos"), F.col(f"leave_{n}")).alias(f"leave_{n}") for n in windows],
             )
         )
+        return stage(table, "session_windows")
 
     def season_reach(self) -> DataFrame:
         """(Year, reach): last position whose season is at most SEASON_LAG after Year."""
-        seasons = self.sessions.select("Year").where("Year IS NOT NULL").distinct()
-        last = self.dates.where("ref_year IS NOT NULL").groupBy(F.col("ref_year").alias("Year")).agg(
-            F.max("pos").alias("last_pos")
+        seasons = (
+            self.dates.where("ref_year IS NOT NULL")
+            .groupBy(F.col("ref_year").alias("Year"))
+            .agg(F.max("pos").alias("last_pos"))
         )
         upto = Window.orderBy("Year").rangeBetween(Window.unboundedPreceding, schema.SEASON_LAG)
-        return seasons.join(last, "Year", "left").select("Year", F.max("last_pos").over(upto).alias("reach"))
+        return seasons.select("Year", F.max("last_pos").over(upto).alias("reach"))
+
+
+def spine_of(session_windows: DataFrame) -> DataFrame:
+    """The as-of dates of a session window table: (dt_ref, ref_year, pos)."""
+    return session_windows.where("in_spine").select(F.col("date").alias("dt_ref"), "ref_year", "pos").distinct()
 
 
 def calendar(results: DataFrame, year_stop: int | None = None) -> Calendar:

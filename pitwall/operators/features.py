@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from pitwall import schema
 from pitwall.operators.asof import all_windows
+from pitwall.session import stage
 
 
 def add_suffix(df: DataFrame, suffix: object, keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
@@ -64,21 +65,23 @@ def feature_columns(abt: DataFrame) -> list[str]:
 def season_tail_sampling(abt: DataFrame, tail: int = schema.SEASON_TAIL) -> DataFrame:
     """Drop the newest `tail` dates of each season.
 
-    Only the distinct dates are ranked. The rows to keep are picked by date alone, and
-    dates are few, so the join side stays small at any table size.
+    Pass a stored table: it is read once for its dates and once for its rows. Only the
+    distinct dates are ranked; they are staged, so the wide rows are not shuffled for a
+    list of that size.
     """
     newest = Window.partitionBy(F.year("dt_ref")).orderBy(F.col("dt_ref").desc())
     kept = (
         abt.select("dt_ref").distinct().withColumn("newer", F.row_number().over(newest) - 1).where(F.col("newer") >= tail)
     )
-    return abt.join(kept.select("dt_ref"), "dt_ref", "left_semi")
+    return abt.join(stage(kept.select("dt_ref"), "sampled_dates"), "dt_ref", "left_semi")
 
 
 def temporal_split(abt: DataFrame, train_before: int, test_year: int, oot_year: int) -> DataFrame:
     """Add `split`: sampled rows before `train_before` are train, sampled rows of
     `test_year` are test, all rows of `oot_year` are oot. The rest is left out.
 
-    One pass: the table is joined with its own date list, not split and re-united.
+    Pass a stored table, as for the sampling. The rows are joined with the staged list of
+    their dates once, not split and re-united.
     """
     year = F.year("dt_ref")
     newest = Window.partitionBy(year).orderBy(F.col("dt_ref").desc())
@@ -95,7 +98,7 @@ def temporal_split(abt: DataFrame, train_before: int, test_year: int, oot_year:
         .where("split IS NOT NULL")
         .select("dt_ref", "split")
     )
-    return abt.join(dates, "dt_ref")
+    return abt.join(stage(dates, "split_dates"), "dt_ref")
 
 
 def split_sizes(abt: DataFrame, split: DataFrame) -> DataFrame:

@@ -37,6 +37,11 @@ def _abt(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = schema.WIN
     return features.label(features.driver_all_statistic(rows, windows), winners)
 
 
+def _stored_abt(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = schema.WINDOWS) -> DataFrame:
+    """The labelled table as later jobs find it: written once, read many times."""
+    return stage(_abt(spark, sf_dir, windows), "abt")
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored rows with a fixed formula in place of the model, so SQL can check them."""
     rows = results(spark, sf_dir)
@@ -108,7 +113,7 @@ def season_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_statistic(n: int) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return asof.driver_statistic(results(spark, sf_dir), n).orderBy(F.col("dt_ref").desc(), "DriverId")
+        return asof.driver_statistic(results(spark, sf_dir), n)
 
     QUERIES[f"driver_statistic_{n}"] = run
 
@@ -117,6 +122,11 @@ for _n in schema.WINDOWS:
     _register_statistic(_n)
 
 
+@query
+def driver_statistic_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof.in_reading_order(asof.driver_statistic(results(spark, sf_dir), 5))
+
+
 @query
 def driver_all_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.driver_all_statistic(results(spark, sf_dir))
@@ -140,30 +150,30 @@ def tb_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def season_tail_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _abt(spark, sf_dir, SCORE_WINDOWS)
+    abt = _stored_abt(spark, sf_dir, SCORE_WINDOWS)
     return features.season_tail_sampling(abt.select(*schema.FEATURE_KEY, schema.LABEL))
 
 
 @query
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _abt(spark, sf_dir, SCORE_WINDOWS)
+    abt = _stored_abt(spark, sf_dir, SCORE_WINDOWS)
     return features.temporal_split(abt.select(*schema.FEATURE_KEY, schema.LABEL), **SPLIT)
 
 
 @query
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _abt(spark, sf_dir)
+    abt = _stored_abt(spark, sf_dir)
     return features.split_sizes(abt, features.temporal_split(abt, **SPLIT))
 
 
 @query
 def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.training_matrix(features.temporal_split(_abt(spark, sf_dir), **SPLIT))
+    return features.training_matrix(features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT))
 
 
 @query
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = features.temporal_split(_abt(spark, sf_dir), **SPLIT)
+    split = features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT)
     train = split.where("split = 'train'")
     return features.null_profile(train.select(*[c for c in train.columns if c not in (*schema.FEATURE_KEY, "split")]))
 
@@ -197,7 +207,7 @@ def roc_curve_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = features.temporal_split(_abt(spark, sf_dir, SCORE_WINDOWS), **SPLIT)
+    scored = features.temporal_split(_stored_abt(spark, sf_dir, SCORE_WINDOWS), **SPLIT)
     auc = ranking.roc_auc(scored, "total_points_5", schema.LABEL, ["split"])
     return auc.select("split", F.round("auc", 9).alias("auc"))
 
@@ -206,7 +216,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
-    abt = stage(_abt(spark, sf_dir), "abt")
+    abt = _stored_abt(spark, sf_dir)
     split = features.temporal_split(abt, **SPLIT)
     return abt, forest.fit(split.where("split = 'train'"), features.feature_columns(abt))
 

@@ -17,7 +17,8 @@ def spark_session(app_name: str = "pitwall", master: str | None = None, **settin
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # The wide plans compile more classes than the default cache of 100 holds.
+        "spark.sql.codegen.cache.maxEntries": "1000",
     }
     for key, value in {**defaults, **settings}.items():
         builder = builder.config(key, value)
