@@ -4,21 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pitwall.llm import ngram_join
+from pitwall.llm import bpe, langid, ngram_join, shards, token_counts
+from pitwall.llm.common import staging_path
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digest(text: F.Column) -> F.Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op3_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.lpt_shards(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def digests(encoded: DataFrame) -> DataFrame:
+    """The digest columns of encoded and decoded texts."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _digest(F.array_join("ids", ",")).alias("ids_sha256"),
+        _digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = staging_path(spark, "token-cache")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_lpt_shards": op3_lpt_shards,
+    "op4_bpe": op4_bpe,
+    "op5_language": op5_language,
+    "op8_token_counts": op8_token_counts,
 }
 
 SQL: dict[str, str] = {}
