@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitwall.session import stage, staging_path
 
-__all__ = ["columns_of", "shuffle_partitions", "stage", "staging_path", "text_rows", "whole"]
+__all__ = ["columns_of", "narrowed", "shuffle_partitions", "stage", "staging_path", "text_rows", "whole", "without"]
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
@@ -33,3 +33,40 @@ def text_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             yield from zip(*[part.column(part.schema.get_field_index(name)).to_pylist() for name in names], strict=True)
+
+
+#: Bits of the map that `narrowed` broadcasts: 4 MiB, whatever the number of keys.
+MAP_BITS = 1 << 25
+
+
+def _marked(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Adds `_maybe`: whether `name` may be among `keys`; false only for values that are not.
+
+    Keys become bits of a map of fixed size, in rows of 4 KiB, 1,024 at most, which is
+    broadcast. With very many keys the map fills up and marks all rows.
+    """
+    place = F.pmod(F.xxhash64(name), F.lit(MAP_BITS)) + 1
+    maps = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map")
+    )
+    maps = stage(maps, "bitmap")
+    marked = df.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
+    marked = marked.join(F.broadcast(maps), "_bucket", "left")
+    held = "(cast(conv(hex(substring(_map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_bit % 8 as int)) & 1"
+    return marked.withColumn("_maybe", F.expr(f"_map IS NOT NULL AND {held} = 1")).drop("_bucket", "_bit", "_map")
+
+
+def narrowed(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """Rows of `df` whose `name` may be among `keys`; no such row is lost.
+
+    Wide rows that no key wants stay out of the shuffle of the join that follows.
+    """
+    return _marked(df, keys, name).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """Rows of `df` whose `name` is not among `ids`. Only rows that may be move for the join; null names stay."""
+    marked = _marked(df, ids, name)
+    sure = F.col(name).isNull() | ~F.col("_maybe")
+    rest = marked.where(~sure).join(ids.select(name).distinct(), name, "left_anti")
+    return marked.where(sure).select(*df.columns).unionByName(rest.select(*df.columns))

@@ -122,3 +122,15 @@ def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], margin: floa
     return columns_of(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
         run, "doc_id long, lang_pred string, score double, rejected boolean"
     )
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, list[bytes]], margin: float = MARGIN) -> DataFrame:
+    """The rows of `docs`, all columns, that `identify` does not reject."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(dictionaries)
+        for batch in batches:
+            found = [classify(text) for (text,) in text_rows([batch], "text")]
+            yield batch.filter(pa.array([n != UNKNOWN and s >= margin for n, s in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

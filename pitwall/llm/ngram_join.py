@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import columns_of, shuffle_partitions, stage, text_rows
+from pitwall.llm.common import columns_of, narrowed, shuffle_partitions, stage, text_rows, without
 from pitwall.llm.components import components
 
 WORDS = 5
@@ -537,7 +537,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     clusters = components(candidate_edges(docs, described))
     chosen = heads.join(clusters.withColumnRenamed("node", "key").withColumnRenamed("component", "cluster"), "key")
     chosen = stage(chosen.select(F.col("head").alias("doc_id"), "key", "cluster"), "ngram_chosen")
-    sets = docs.join(chosen, "doc_id").mapInArrow(_sets, "doc_id long, cluster long, n long, hashes binary")
+    sets = narrowed(docs, chosen, "doc_id").join(chosen, "doc_id").mapInArrow(_sets, "doc_id long, cluster long, n long, hashes binary")
     links = components(tree_links(sets))
     heads = heads.join(links.withColumnRenamed("node", "head"), "head", "left").select(
         "key", "high", F.coalesce("component", "head").alias("least")
@@ -547,3 +547,19 @@ def ngram_join(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, less those that are linked to a smaller doc_id.
+
+    Texts without words are linked with nothing and stay, as do rows without doc_id. Of
+    rows that repeat a doc_id whose text has words, one stays.
+    """
+    found = stage(ngram_join(docs), "ngram_found")
+    later = found.where("component_id < doc_id").select("doc_id")
+    twice = found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    gone = stage(later.unionByName(twice).distinct(), "ngram_gone")
+    kept = without(docs, gone, "doc_id")
+    heads = twice.join(later, "doc_id", "left_anti")
+    again = narrowed(docs, heads, "doc_id").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(again.select(*docs.columns))

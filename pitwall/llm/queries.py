@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitwall.llm import bpe, langid, ngram_join, shards, token_counts
+from pitwall.llm import ann, bpe, decontaminate, html_text, langid, ngram_join, pii, secret_scan, shards, token_counts
 from pitwall.llm.common import staging_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.lpt_shards(_table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -52,17 +56,56 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def spans(column: F.Column) -> F.Column:
+    """kind:start:end of the spans, by kind as listed, then start, joined by commas."""
+    order = F.array(*[F.lit(k) for k in pii.KINDS])
+    parts = F.transform(column, lambda s: F.struct(F.array_position(order, s["kind"]), s["start"], s["stop"], s["kind"]))
+    text = F.transform(F.array_sort(parts), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+    return F.array_join(text, ",")
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.personal_data(docs, pii.learn(docs))
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts,
+        _digest(spans(F.col("base"))).alias("base_sha256"),
+        spans(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+    )
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = staging_path(spark, "token-cache")
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_nearest": op2_nearest,
     "op3_lpt_shards": op3_lpt_shards,
     "op4_bpe": op4_bpe,
     "op5_language": op5_language,
+    "op6_personal_data": op6_personal_data,
+    "op7_main_text": op7_main_text,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
+    "op10_decontaminate": op10_decontaminate,
 }
 
+#: None of the ten results can be written in SQL; tests hold them against brute force, round trips or held-out rows.
 SQL: dict[str, str] = {}
