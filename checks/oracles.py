@@ -10,7 +10,7 @@ SQL["season_points"] = L.query(L.RESULTS, L.CHAMPIONS, select="SELECT * FROM tot
 SQL["champions"] = L.query(L.RESULTS, L.CHAMPIONS, select="SELECT * FROM champions")
 SQL["date_spine"] = L.query(L.RESULTS, L.SPINE, select="SELECT * FROM spine")
 SQL["last_n_rounds"] = L.query(
-    L.RESULTS, L.KNOWN, select="SELECT dt_ref, Year, RoundNumber, CAST(rn AS INTEGER) AS rn FROM ranked WHERE rn <= 50"
+    L.RESULTS, L.KNOWN, select="SELECT dt_ref, Year, RoundNumber, CAST(place AS INTEGER) AS rn FROM standing WHERE place <= 50"
 )
 for _n in L.WINDOWS:
     SQL[f"driver_statistic_{_n}"] = L.query(L.RESULTS, L.KNOWN, L.statistic(_n), select=f"SELECT * FROM stat_{_n}")
@@ -25,9 +25,9 @@ SQL["asof_sessions"] = L.query(
     select="""
     SELECT dt_ref, COUNT(*) AS qty_rows, COUNT(DISTINCT Year * 100 + RoundNumber) AS qty_rounds,
            COUNT(DISTINCT DriverId) AS qty_drivers
-    FROM known GROUP BY dt_ref""",
+    FROM spine JOIN results ON CAST(Date AS DATE) <= dt_ref GROUP BY dt_ref""",
 )
-SQL["eligible_drivers"] = L.query(L.RESULTS, L.KNOWN, select="SELECT dt_ref, DriverId FROM eligible")
+SQL["eligible_drivers"] = L.query(L.RESULTS, L.KNOWN, select="SELECT dt_ref, DriverId FROM latest WHERE season >= ref_year - 2")
 SQL["min_season_filter"] = L.query(
     L.RESULTS,
     select="""
@@ -41,7 +41,7 @@ SQL["season_rounds"] = L.query(
            COUNT(DISTINCT DriverId) AS qty_drivers
     FROM results WHERE Year BETWEEN 1980 AND 2000 GROUP BY Year""",
 )
-SQL["consolidate_windows"] = L.query(L.RESULTS, L.wide((5, 10)), select="SELECT * FROM wide")
+SQL["consolidate_windows"] = L.query(L.RESULTS, L.wide(), select="SELECT * FROM wide")
 
 # --- training sets
 _SPLIT = """
@@ -55,12 +55,11 @@ split AS (
   UNION ALL SELECT 'test', * FROM sampled WHERE year(dt_ref) = 2000
   UNION ALL SELECT 'oot', * FROM abt WHERE year(dt_ref) = 2001
 )"""
-_TWO = (5, 10)
 SQL["season_tail_sampling"] = L.query(
-    L.RESULTS, L.labelled(_TWO), _SPLIT, select="SELECT dt_ref, DriverId, flChampion FROM sampled"
+    L.RESULTS, L.labelled(), _SPLIT, select="SELECT * FROM sampled"
 )
 SQL["temporal_split"] = L.query(
-    L.RESULTS, L.labelled(_TWO), _SPLIT, select="SELECT dt_ref, DriverId, flChampion, split FROM split"
+    L.RESULTS, L.labelled(), _SPLIT, select="SELECT * FROM split"
 )
 SQL["split_sizes"] = L.query(
     L.RESULTS,
@@ -114,7 +113,7 @@ SQL["roc_curve"] = L.query(
 )
 SQL["roc_auc"] = L.query(
     L.RESULTS,
-    L.labelled(_TWO),
+    L.labelled(),
     _SPLIT,
     """
 ranks AS (
@@ -131,6 +130,60 @@ sums AS (
     select="SELECT split, ROUND((rank_sum - p * (p + 1) / 2) / nullif(p * n, 0), 9) AS auc FROM sums",
 )
 
+# --- model: one tree of one split, the best by Gini gain over all rows of the training split,
+# in which both classes weigh the same. (Spark joins leaves of one class again; with equal weights the two differ.)
+_STUMP = ("qty_1place_5", "qty_place_5", "qty_seasons_40", "qty_poli_win_20", "qty_sessions_with_points_10")
+_TREE = f"""
+grown AS (SELECT * FROM split WHERE split = 'train'),
+counts AS ({" UNION ALL ".join(
+    f"SELECT {i} AS nr, '{c}' AS feature, {c} AS v, COUNT(*) AS n, SUM(flChampion) AS p FROM grown GROUP BY {c}"
+    for i, c in enumerate(_STUMP))}),
+sides AS (
+  SELECT nr, feature, (v + lead(v) OVER w) / 2.0 AS cut, SUM(n) OVER w AS ln, SUM(n) OVER t AS tn,
+         SUM(n - p) OVER w AS la, SUM(n - p) OVER t AS ta, SUM(p) OVER w * SUM(n - p) OVER t / CAST(SUM(p) OVER t AS DOUBLE) AS lb
+  FROM counts WINDOW w AS (PARTITION BY nr ORDER BY v), t AS (PARTITION BY nr)
+),
+-- both classes weigh the same as a whole: ta each
+gains AS (
+  SELECT *, ROUND((la * la + lb * lb) / (la + lb) + ((ta - la) * (ta - la) + (ta - lb) * (ta - lb)) / (2 * ta - la - lb) - ta, 6) AS gain
+  FROM sides WHERE cut IS NOT NULL AND ln >= 50 AND tn - ln >= 50
+),
+-- of equal gains the first feature in order, and its lowest cut
+tree AS (SELECT * FROM gains WHERE gain > 0 ORDER BY gain DESC, nr, cut LIMIT 1),
+leaf AS (
+  SELECT feature, cut, lb / (la + lb) AS low, (ta - lb) / (2 * ta - la - lb) AS high FROM tree
+)"""
+_LEAF_VALUE = "CASE feature " + " ".join(f"WHEN '{c}' THEN {c}" for c in _STUMP) + " END"
+_CHANCE = f"CASE WHEN {_LEAF_VALUE} <= cut THEN low ELSE high END"
+SQL["fit_forest"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    _TREE,
+    f"""
+chances AS (SELECT split, flChampion, {_CHANCE} AS chance FROM split, leaf),
+placed_chances AS (
+  SELECT split, flChampion,
+         rank() OVER (PARTITION BY split ORDER BY chance) + (COUNT(*) OVER (PARTITION BY split, chance) - 1) / 2.0 AS mean_rank
+  FROM chances
+),
+sums AS (
+  SELECT split, CAST(SUM(mean_rank) FILTER (WHERE flChampion = 1) AS DOUBLE) AS rank_sum,
+         CAST(SUM(flChampion) AS DOUBLE) AS p, CAST(SUM(1 - flChampion) AS DOUBLE) AS n
+  FROM placed_chances GROUP BY split
+)""",
+    select="SELECT split, ROUND((rank_sum - p * (p + 1) / 2) / nullif(p * n, 0), 4) AS auc FROM sums",
+)
+SQL["feature_importance"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    _TREE,
+    select=f"""
+    SELECT name AS feature, CAST(coalesce(name = (SELECT feature FROM tree), false) AS DOUBLE) AS importance
+    FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _STUMP)}]) AS name)""",
+)
+
 # --- serving
 _COLOR = """CASE WHEN TeamColor IS NULL THEN '#ffffff' WHEN TeamColor LIKE '#%' THEN lower(TeamColor)
             ELSE lower('#' || TeamColor) END"""
@@ -139,12 +192,12 @@ entities AS (
   SELECT DriverId, TeamName, {_COLOR} AS TeamColor, FullName, TeamId FROM results
   QUALIFY row_number() OVER (PARTITION BY DriverId ORDER BY Date DESC, TeamName, TeamColor, FullName, TeamId) = 1
 )"""
-_SCORED = f"""{L.wide(_TWO)},{_ENTITIES},
+_SCORED = f"""{L.labelled()},{_ENTITIES},
 scored AS (
-  SELECT w.dt_ref, w.DriverId, strftime(w.dt_ref, '%Y-%m-%d') || '_' || w.DriverId AS id,
+  SELECT w.*, strftime(w.dt_ref, '%Y-%m-%d') || '_' || w.DriverId AS id,
          CAST(year(w.dt_ref) AS INTEGER) AS Year, total_points_5 / (1 + total_points_10) AS prob_win,
          TeamName, TeamColor, FullName, TeamId, w.DriverId || '_' || TeamId AS driver_team_id
-  FROM wide w JOIN entities e ON w.DriverId = e.DriverId
+  FROM abt w JOIN entities e ON w.DriverId = e.DriverId
 )"""
 _CHOSEN = """
 best AS (SELECT * FROM scored ORDER BY dt_ref DESC, prob_win DESC NULLS LAST, DriverId LIMIT 5),
@@ -159,6 +212,22 @@ SQL["format_color"] = L.query(
     L.RESULTS,
     select=f"SELECT TeamName, TeamColor, {_COLOR} AS color, COUNT(*) AS rows FROM results GROUP BY ALL",
 )
+SQL["score_abt"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    _TREE,
+    _ENTITIES,
+    f"""
+filled AS (
+  SELECT dt_ref, DriverId, {", ".join(f"coalesce({c}, -10000) AS {c}" for c in [*L.features(), "flChampion"])} FROM abt
+)""",
+    select=f"""
+    SELECT f.*, strftime(dt_ref, '%Y-%m-%d') || '_' || f.DriverId AS id, CAST(year(dt_ref) AS INTEGER) AS Year,
+           ROUND(1 - {_CHANCE}, 9) AS "0", ROUND({_CHANCE}, 9) AS prob_win,
+           TeamName, TeamColor, FullName, TeamId, f.DriverId || '_' || TeamId AS driver_team_id
+    FROM filled f JOIN entities e ON f.DriverId = e.DriverId, leaf""",
+)
 SQL["scored_with_team"] = L.query(L.RESULTS, _SCORED, select="SELECT * FROM scored")
 SQL["first_team"] = L.query(
     L.RESULTS,
@@ -234,3 +303,23 @@ SQL["enrich_sessions"] = L.query(
            n_name AS Country, r_name AS Location
     FROM results r JOIN nation ON RoundNumber = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
 )
+SQL["enrich_unlisted_sessions"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT r.* REPLACE (CASE WHEN RoundNumber <= 6 THEN Date END AS Date),
+           Year || ' Grand Prix of ' || n_name AS OfficialEventName, n_name || ' Grand Prix' AS EventName,
+           n_name AS Country, r_name AS Location
+    FROM results r LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey <= 6)
+      ON RoundNumber = n_nationkey""",
+)
+SQL["ingest_after_reload"] = SQL["backfill_years"]
+SQL["incremental_null_keys"] = L.query(
+    L.RESULTS,
+    "bare AS (SELECT * REPLACE (nullif(Mode, 'Sprint') AS Mode) FROM results)",
+    select="""
+    SELECT Year, RoundNumber, Mode, COUNT(*) AS rows FROM bare b
+    WHERE NOT EXISTS (
+      SELECT 1 FROM bare o WHERE o.Year = b.Year AND o.RoundNumber = b.RoundNumber AND o.Mode IS NOT DISTINCT FROM b.Mode
+        AND o.Year < 2000)
+    GROUP BY Year, RoundNumber, Mode""",
+)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,16 +13,26 @@ from pitwall.operators.asof import all_windows
 from pitwall.session import stage
 
 
-def add_suffix(df: DataFrame, suffix: object, keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
-    """Every column but the keys gets `_<suffix>`."""
-    return df.select(*keys, *[F.col(c).alias(f"{c}_{suffix}") for c in df.columns if c not in keys])
+def side_by_side(tables: Mapping[int, DataFrame], keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
+    """Stored tables of single windows as one wide table, each column named with its window.
 
-
-def consolidate(tables: dict[int, DataFrame], keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
-    """Join per-window tables side by side. All joins are on the same keys, so every
-    table is shuffled once and the joined rows stay where they are."""
-    renamed = [add_suffix(df, n, keys) for n, df in tables.items()]
-    return reduce(lambda left, right: left.join(right, list(keys)), renamed)
+    The tables are stacked and gathered in one grouping, so their rows are shuffled once
+    together and not joined table by table. Rows that a table lacks, and null keys, are
+    left out.
+    """
+    parts = []
+    for n, table in tables.items():
+        values = [c for c in table.columns if c not in keys]
+        parts.append(table.select(*keys, F.lit(n).alias("window"), F.struct(*values).alias("statistics")))
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    held = [
+        F.first(F.when(F.col("window") == n, F.col("statistics")), ignorenulls=True).alias(f"w{n}") for n in tables
+    ]
+    gathered = stacked.dropna(subset=list(keys)).groupBy(*keys).agg(*held).dropna(subset=[f"w{n}" for n in tables])
+    columns = [F.col(f"w{n}.{c}").alias(f"{c}_{n}") for n, t in tables.items() for c in t.columns if c not in keys]
+    return gathered.select(*keys, *columns)
 
 
 def present_everywhere(wide: DataFrame, windows: Sequence[int] = schema.WINDOWS) -> DataFrame:

@@ -18,13 +18,25 @@ from pitwall.sources.layers import list_folder
 TREES = 500
 MIN_LEAF_ROWS = 50
 SEED = 42
-# Trees stop at MIN_LEAF_ROWS long before this depth on tables of the published size;
-# on very large tables it bounds what a tree may cost.
-MAX_DEPTH = 12
-
-
-def pipeline(features: Sequence[str], trees: int = TREES, max_depth: int = MAX_DEPTH) -> Pipeline:
-    """Missing features become the sentinel, then a forest on all of them."""
+# The engine's own limit; trees stop at MIN_LEAF_ROWS.
+MAX_DEPTH = 30
+# Values of a feature that a split tells apart at most; columns with more are cut at quantiles.
+MAX_BINS = 256
+# Tasks that draw bootstrap samples. Each draws its own, so the number is part of the model, not of the cluster.
+TASKS = 64
+
+
+def pipeline(
+    features: Sequence[str],
+    trees: int = TREES,
+    max_depth: int = MAX_DEPTH,
+    max_bins: int = MAX_BINS,
+    bootstrap: bool = True,
+    subset: str = "auto",
+    weight: str | None = None,
+) -> Pipeline:
+    """Missing features become the sentinel, then a forest on all of them. `subset` is
+    the share of features a split looks at, in Spark's words; `weight` a column."""
     filled = ", ".join(f"coalesce(double(`{c}`), {schema.SENTINEL}D) AS `filled_{c}`" for c in features)
     impute = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[f"filled_{c}" for c in features], outputCol="features")
@@ -34,18 +46,37 @@ def pipeline(features: Sequence[str], trees: int = TREES, max_depth: int = MAX_D
         numTrees=trees,
         minInstancesPerNode=MIN_LEAF_ROWS,
         maxDepth=max_depth,
+        maxBins=max_bins,
+        bootstrap=bootstrap,
+        featureSubsetStrategy=subset,
         seed=SEED,
     )
+    if weight:
+        forest.setWeightCol(weight)
     return Pipeline(stages=[impute, assemble, forest])
 
 
-def fit(train: DataFrame, features: Sequence[str], trees: int = TREES, max_depth: int = MAX_DEPTH) -> PipelineModel:
-    """Fit on rows spread evenly over the cluster and in a fixed order, as each task draws
-    its own samples: the same rows and seed then give the same forest."""
-    context = train.sparkSession.sparkContext
-    tasks = max(context.defaultParallelism, int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def fit(
+    train: DataFrame,
+    features: Sequence[str],
+    trees: int = TREES,
+    max_depth: int = MAX_DEPTH,
+    max_bins: int = MAX_BINS,
+    bootstrap: bool = True,
+    subset: str = "auto",
+    tasks: int = TASKS,
+    balanced: bool = False,
+) -> PipelineModel:
+    """Fit on rows spread evenly over `tasks` tasks and in a fixed order: the same rows,
+    settings and seed give the same forest on any cluster. `balanced` gives both classes
+    the same weight as a whole."""
     spread = train.repartition(tasks, *schema.FEATURE_KEY).sortWithinPartitions(*schema.FEATURE_KEY)
-    return pipeline(features, trees, max_depth).fit(spread.select(schema.LABEL, *features))
+    made = pipeline(features, trees, max_depth, max_bins, bootstrap, subset, "weight" if balanced else None)
+    kept = [F.col(schema.LABEL), *[F.col(c) for c in features]]
+    if balanced:
+        ones, others = spread.agg(F.count_if(F.col(schema.LABEL) == 1), F.count_if(F.col(schema.LABEL) != 1)).first()
+        kept.append(F.when(F.col(schema.LABEL) == 1, others / ones if ones else 1.0).otherwise(1.0).alias("weight"))
+    return made.fit(spread.select(*kept))
 
 
 def feature_names(model: PipelineModel) -> list[str]:

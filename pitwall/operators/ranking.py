@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.session import stage
 
-# Slices the score range is cut into for the running counts.
-SLICES = 256
+# Slices the score range is cut into for the running counts, for each shuffle partition.
+SLICES_PER_PARTITION = 4
 
 
 def score_counts(scored: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -29,17 +30,22 @@ def cumulative_counts(scored: DataFrame, score: str, label: str, by: Sequence[st
     One running sum over all scores would be one task. The scores are cut into slices at
     approximate quantiles of the distinct scores; rows are added up within a slice, and
     what lies in higher slices comes from the slice totals, of which there are at most
-    SLICES per group. The cut only spreads the work: sums are exact wherever it falls.
+    a few for each shuffle partition and group. The cut only spreads the work: sums are exact wherever it falls.
     The counts are staged, so the scores are computed once.
     """
     counts = stage(score_counts(scored, score, label, by), "score_counts")
-    cuts = counts.approxQuantile("threshold", [i / SLICES for i in range(1, SLICES)], 0.1 / SLICES)
-    below = F.filter(F.array(*[F.lit(cut) for cut in sorted(set(cuts))]), lambda cut: cut <= F.col("threshold"))
-    sliced = counts.withColumn("slice", F.size(below) if cuts else F.lit(0))
+    slices = SLICES_PER_PARTITION * int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(counts.approxQuantile("threshold", [i / slices for i in range(1, slices)], 0.1 / slices)))
+    if cuts:
+        # Placed by binary search. The lowest slice takes all below, the highest all above.
+        borders = [-float("inf"), *[c for c in cuts if abs(c) != float("inf")], float("inf")]
+        sliced = Bucketizer(splits=borders, inputCol="threshold", outputCol="slice", handleInvalid="keep").transform(counts)
+    else:
+        sliced = counts.withColumn("slice", F.lit(0.0))
     down = Window.partitionBy(*by).orderBy(F.col("slice").desc())
     above = down.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    slices = (
+    totals = (
         sliced.groupBy(*by, "slice")
         .agg(
             F.sum("pos").alias("s_pos"),
@@ -60,7 +66,7 @@ def cumulative_counts(scored: DataFrame, score: str, label: str, by: Sequence[st
     )
     within = Window.partitionBy(*by, "slice").orderBy(F.col("threshold").desc())
     running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sliced.join(slices, [*by, "slice"]).select(
+    return sliced.join(totals, [*by, "slice"]).select(
         *by,
         "threshold",
         "pos",

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from pitwall import schema
 from pitwall.operators import asof, champions, features, forest, ranking, serving
-from pitwall.session import stage
+from pitwall.session import pin_utc, stage
 from pitwall.sources import layers, publish, raw
 
 
 def run_bronze(spark: SparkSession, raw_folder: str, bronze: str) -> None:
     """All raw session files as one clean results table, one folder per season."""
+    pin_utc(spark)
     rows = raw.consolidate(spark, raw_folder)
     layers.write_table(rows.hint("rebalance", "Year"), bronze, "results", partition_by=["Year"])
 
@@ -36,6 +37,7 @@ def run_silver(
     All windows are computed in one pass and staged. The tables that follow are cuts of
     that one: no further scan of the results, and no join to set windows side by side.
     """
+    pin_utc(spark)
     results = bronze_results(spark, bronze)
     layers.write_table(champions.champions(results), silver, "champions")
 
@@ -70,6 +72,7 @@ def run_train(
 
     Returns (split, auc), the importances, and the stored model.
     """
+    pin_utc(spark)
     abt = layers.read_table(spark, silver, "tb_abt")
     names = features.feature_columns(abt)
     split = features.temporal_split(abt, train_before, test_year, oot_year)
@@ -87,11 +90,13 @@ def score(model: PipelineModel, abt: DataFrame, results: DataFrame) -> DataFrame
     """The scored table: features with nulls filled, id, season, probabilities, team."""
     filled = serving.add_row_id(features.impute_sentinel(abt))
     scored = forest.predict(model, filled).drop("prediction")
-    return serving.scored_with_team(scored, serving.entity_dimension(results))
+    # Staged, so its size is known and the wide side is not shuffled for it.
+    return serving.scored_with_team(scored, stage(serving.entity_dimension(results), "entities"))
 
 
 def run_score(spark: SparkSession, bronze: str, silver: str, models: str, gold: str) -> None:
     """Score the whole labelled table with the newest model."""
+    pin_utc(spark)
     model = forest.load_model(spark, models)
     if model is None:
         raise FileNotFoundError(f"no model under {models}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ QUERIES: dict[str, Query] = {}
 
 # Split years that suit the seasons of the test data.
 SPLIT = {"train_before": 2000, "test_year": 2000, "oot_year": 2001}
-# Windows of the queries below that need a score but not every feature.
-SCORE_WINDOWS = (5, 10)
+# A tree small enough for SQL to check: one split over all rows, on features of few values.
+STUMP = ["qty_1place_5", "qty_place_5", "qty_seasons_40", "qty_poli_win_20", "qty_sessions_with_points_10"]
+STUMP_SETTINGS = {"trees": 1, "max_depth": 1, "bootstrap": False, "subset": "all", "balanced": True}
 
 
 def query(run: Query) -> Query:
@@ -31,25 +33,29 @@ def query(run: Query) -> Query:
     return run
 
 
-def _abt(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = schema.WINDOWS) -> DataFrame:
+def _abt(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(spark, sf_dir)
     winners = stage(season.champions(rows), "champions")
-    return features.label(features.driver_all_statistic(rows, windows), winners)
+    return features.label(features.driver_all_statistic(rows), winners)
 
 
-def _stored_abt(spark: SparkSession, sf_dir: str, windows: tuple[int, ...] = schema.WINDOWS) -> DataFrame:
-    """The labelled table as later jobs find it: written once, read many times."""
-    return stage(_abt(spark, sf_dir, windows), "abt")
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
+def _stored_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table as later jobs find it: written once for a session and folder, read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = stage(_abt(spark, sf_dir), "abt")
+    return _STORED[key]
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scored rows with a fixed formula in place of the model, so SQL can check them."""
-    rows = results(spark, sf_dir)
-    abt = serving.add_row_id(features.driver_all_statistic(rows, SCORE_WINDOWS)).withColumn(
+    """The whole labelled table with a fixed formula in place of the model, so SQL can check it."""
+    abt = serving.add_row_id(_stored_abt(spark, sf_dir)).withColumn(
         "prob_win", F.col("total_points_5") / (1.0 + F.col("total_points_10"))
     )
-    scored = abt.select("dt_ref", "DriverId", "id", "Year", "prob_win")
-    return serving.scored_with_team(scored, stage(serving.entity_dimension(rows), "entities"))
+    return serving.scored_with_team(abt, stage(serving.entity_dimension(results(spark, sf_dir)), "entities"))
 
 
 def _chosen(scored: DataFrame) -> tuple[list[str], list[int]]:
@@ -134,10 +140,10 @@ def driver_all_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def consolidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The wide table by joining stored per-window tables, as the layer job's tables allow."""
+    """The wide table from stored per-window tables, as the layer job's tables allow."""
     rows = results(spark, sf_dir)
-    tables = {n: stage(asof.driver_statistic(rows, n), f"statistic_{n}") for n in SCORE_WINDOWS}
-    return features.consolidate(tables)
+    tables = {n: stage(asof.driver_statistic(rows, n), f"statistic_{n}") for n in schema.WINDOWS}
+    return features.side_by_side(tables)
 
 
 @query
@@ -150,14 +156,12 @@ def tb_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def season_tail_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _stored_abt(spark, sf_dir, SCORE_WINDOWS)
-    return features.season_tail_sampling(abt.select(*schema.FEATURE_KEY, schema.LABEL))
+    return features.season_tail_sampling(_stored_abt(spark, sf_dir))
 
 
 @query
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _stored_abt(spark, sf_dir, SCORE_WINDOWS)
-    return features.temporal_split(abt.select(*schema.FEATURE_KEY, schema.LABEL), **SPLIT)
+    return features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT)
 
 
 @query
@@ -207,7 +211,8 @@ def roc_curve_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = features.temporal_split(_stored_abt(spark, sf_dir, SCORE_WINDOWS), **SPLIT)
+    abt = _stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
+    scored = features.temporal_split(abt, **SPLIT)
     auc = ranking.roc_auc(scored, "total_points_5", schema.LABEL, ["split"])
     return auc.select("split", F.round("auc", 9).alias("auc"))
 
@@ -215,29 +220,42 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- model --------------------------------------------------------------------------
 
 
-def _model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
+def _stump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PipelineModel]:
     abt = _stored_abt(spark, sf_dir)
-    split = features.temporal_split(abt, **SPLIT)
-    return abt, forest.fit(split.where("split = 'train'"), features.feature_columns(abt))
+    split = features.temporal_split(abt.select(*schema.FEATURE_KEY, schema.LABEL, *STUMP), **SPLIT)
+    return abt, forest.fit(split.where("split = 'train'"), STUMP, **STUMP_SETTINGS)
+
+
+def _areas(model: PipelineModel, split: DataFrame) -> DataFrame:
+    scored = forest.predict(model, split).select("split", schema.LABEL, "prob_win")
+    return ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
 
 
 @query
 def fit_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area under the curve of each split for a forest fitted on the training split."""
-    abt, model = _model(spark, sf_dir)
-    scored = forest.predict(model, features.temporal_split(abt, **SPLIT)).select("split", schema.LABEL, "prob_win")
-    return ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
+    """Area under the curve of each split, for a tree that SQL can grow as well."""
+    abt, model = _stump(spark, sf_dir)
+    return _areas(model, features.temporal_split(abt, **SPLIT))
 
 
 @query
 def score_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt, model = _model(spark, sf_dir)
-    return jobs.score(model, abt, results(spark, sf_dir))
+    abt, model = _stump(spark, sf_dir)
+    scored = jobs.score(model, abt, results(spark, sf_dir))
+    return scored.withColumns({c: F.round(f"`{c}`", 9) for c in ("0", "prob_win")})
 
 
 @query
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.feature_importance(_model(spark, sf_dir)[1], spark)
+    return forest.feature_importance(_stump(spark, sf_dir)[1], spark)
+
+
+@query
+def fit_forest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the curve of each split for the published forest, fitted on the training split."""
+    abt = _stored_abt(spark, sf_dir)
+    split = features.temporal_split(abt, **SPLIT)
+    return _areas(forest.fit(split.where("split = 'train'"), features.feature_columns(abt)), split)
 
 
 # --- serving ------------------------------------------------------------------------
@@ -276,14 +294,14 @@ def season_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def filter_entities_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stage(_scored(spark, sf_dir), "scored")
+    scored = _scored(spark, sf_dir)
     return serving.filter_entities_seasons(scored, *_chosen(scored))
 
 
 @query
 def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default pivot in long form: the names of the pivoted columns depend on the data."""
-    scored = stage(_scored(spark, sf_dir), "scored")
+    scored = _scored(spark, sf_dir)
     ids, seasons = _chosen(scored)
     pivoted = serving.pivot_probability(serving.filter_entities_seasons(scored, ids, seasons), ids)
     return pivoted.unpivot(["dt_ref"], sorted(ids), "driver_team_id", "mean_prob_win")
@@ -291,7 +309,7 @@ def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = stage(_scored(spark, sf_dir), "scored")
+    scored = _scored(spark, sf_dir)
     ids, seasons = _chosen(scored)
     return serving.color_lookup(serving.filter_entities_seasons(scored, ids, seasons), sorted(ids))
 
@@ -337,6 +355,27 @@ def backfill_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("Year", "Status").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def ingest_after_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, ingest, reload of past seasons, ingest: the reloaded sessions replace their old rows."""
+    folder, bronze, checkpoint = (staging_path(spark, n) for n in ("raw", "bronze", "stream"))
+    rows = results(spark, sf_dir)
+    raw.land_sessions(rows.withColumn("Status", F.lit("stale")), folder)
+    ingest(spark, folder, bronze, checkpoint)
+    raw.load_sessions(rows, folder, reload_data=True, current_year=2001)
+    ingest(spark, folder, bronze, checkpoint)
+    stored = spark.read.schema(schema.RESULTS).parquet(bronze)
+    return stored.groupBy("Year", "Status").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def incremental_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New sessions where sprints have no mode: a stored session without a mode is not new."""
+    rows = results(spark, sf_dir).withColumn("Mode", F.nullif("Mode", F.lit("Sprint")))
+    new = raw.new_sessions(rows, rows.where("Year < 2000"))
+    return new.groupBy(*schema.SESSION_KEY).agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query
 def session_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = scalars.session_key(F.col("Year"), F.col("RoundNumber"), scalars.mode_identifier(F.col("Mode")))
@@ -353,14 +392,13 @@ def durations_to_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.durations_to_seconds(rows)
 
 
-@query
-def enrich_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Results without their date get it back, with event texts made up from the nations."""
+def _session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per session, with event texts made up from the nations."""
     rows = results(spark, sf_dir)
     nation = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    sessions = (
+    return (
         rows.select(*schema.SESSION_KEY, "Date")
         .distinct()
         .join(nation, F.col("RoundNumber") == F.col("n_nationkey"))
@@ -373,4 +411,17 @@ def enrich_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r_name").alias("Location"),
         )
     )
-    return raw.enrich_sessions(rows.drop("Date"), stage(sessions, "session_list"))
+
+
+@query
+def enrich_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results without their date get it back, with the event texts."""
+    listed = stage(_session_list(spark, sf_dir), "session_list")
+    return raw.enrich_sessions(results(spark, sf_dir).drop("Date"), listed)
+
+
+@query
+def enrich_unlisted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list lacks the later rounds: their rows stay, without date and texts."""
+    listed = stage(_session_list(spark, sf_dir).where("RoundNumber <= 6"), "session_list")
+    return raw.enrich_sessions(results(spark, sf_dir).drop("Date"), listed)

@@ -21,7 +21,8 @@ def table_name(root: str, path: str, prefix: str = "") -> str:
 
 
 def layer_tables(spark: SparkSession, root: str) -> list[str]:
-    """Folders below `root` that hold a table: a table log or a finished write.
+    """Folders below `root` that hold a table: a table log, a finished write or a stream's
+    sink log. Partition folders (`key=value`) are never entered.
 
     Listed with the file system of `root`, so object stores work as local folders do.
     """
@@ -29,10 +30,10 @@ def layer_tables(spark: SparkSession, root: str) -> list[str]:
     while folders:
         folder = folders.pop()
         children = list_folder(spark, folder)
-        if children.keys() & {"_delta_log", "_SUCCESS"}:
+        if children.keys() & {"_delta_log", "_SUCCESS", "_spark_metadata"}:
             found.append(folder)
         else:
-            folders += [f"{folder}/{n}" for n, is_folder in children.items() if is_folder and n[0] not in "_."]
+            folders += [f"{folder}/{n}" for n, is_folder in children.items() if is_folder and n[0] not in "_." and "=" not in n]
     return sorted(found)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
@@ -11,13 +11,28 @@ from pitwall import schema
 from pitwall.functions.scalars import duration_seconds
 
 
+def _session_match(left: DataFrame, right: DataFrame) -> Column:
+    """Equal session keys; a missing part equals a missing part."""
+    match = F.lit(True)
+    for c in schema.SESSION_KEY:
+        match &= left[c].eqNullSafe(right[c])
+    return match
+
+
 def enrich_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Add the session's date and event texts to every result row.
+    """Add the session's date and event texts to every result row; null for a session
+    that is not listed. A session listed twice raises an error.
 
-    The session list has one row per session, so rows meet exactly one match. It is
-    joined as it comes: the optimizer broadcasts it when its files are small.
+    The list is joined as it comes: the optimizer broadcasts it when its files are small.
     """
-    return rows.join(sessions.select(*schema.SESSION_KEY, *schema.SESSION_METADATA), schema.SESSION_KEY)
+    texts = F.struct(*schema.SESSION_METADATA)
+    listed = sessions.groupBy(*schema.SESSION_KEY).agg(F.first(texts).alias("texts"), F.count(F.lit(1)).alias("times"))
+    once = listed.withColumn(
+        "texts", F.when(F.col("times") > 1, F.raise_error(F.lit("a session is listed twice"))).otherwise(F.col("texts"))
+    )
+    joined = rows.join(once, _session_match(rows, once), "left")
+    metadata = [F.col("texts")[c].alias(c) for c in schema.SESSION_METADATA]
+    return joined.select(*[rows[c] for c in rows.columns], *metadata)
 
 
 def durations_to_seconds(rows: DataFrame) -> DataFrame:
@@ -62,11 +77,15 @@ def new_sessions(incoming: DataFrame, present: DataFrame, reload_data: bool = Fa
     """Rows of sessions that `present` does not hold yet; all rows on a reload.
 
     Every new session is taken, whichever others exist. Only the distinct session keys
-    of `present` enter the join.
+    of `present` enter the join. A key part that is null equals a null.
     """
     if reload_data:
         return incoming
-    return incoming.join(present.select(*schema.SESSION_KEY).distinct(), schema.SESSION_KEY, "left_anti")
+    held = present.select(*[F.col(c).alias(f"held_{c}") for c in schema.SESSION_KEY]).distinct()
+    match = F.lit(True)
+    for c in schema.SESSION_KEY:
+        match &= F.col(c).eqNullSafe(F.col(f"held_{c}"))
+    return incoming.join(held, match, "left_anti")
 
 
 def backfill_years(incoming: DataFrame, first_year: int, current_year: int) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from pitwall import schema
-from pitwall.sources.raw import normalise
+from pitwall.session import stage
+from pitwall.sources.raw import consolidate, normalise
 
 
 def raw_stream(
@@ -27,19 +29,35 @@ def ingest(
     columns: StructType = schema.RESULTS,
     max_files: int | None = None,
 ) -> None:
-    """Take every raw file not yet taken into the bronze table, then stop.
+    """Take every session with a raw file not yet taken into the bronze table, then stop.
 
-    The checkpoint remembers the files already taken and the file sink commits each
-    batch once, so a run that is cut off and started again neither loses nor repeats
-    rows. `checkpoint` must be on storage that all executors share and that outlives
-    the job.
+    A batch names sessions; each is read whole from the raw folder and replaces what
+    bronze holds of it. So a reload replaces its sessions, a session in several files or
+    batches is whole, and a batch that is run again after a fault changes nothing. The
+    checkpoint remembers the files already taken; it must be on storage that all
+    executors share and that outlives the job.
     """
+
+    def replace(batch: DataFrame, _: int) -> None:
+        own = batch.sparkSession
+        held = batch.select(*[F.col(c).alias(f"held_{c}") for c in schema.SESSION_KEY]).distinct()
+        held = stage(held, "batch_sessions")
+        # A few seasons, which prune the folders that are read.
+        years = [r[0] for r in held.select("held_Year").distinct().collect()]
+        rows = consolidate(own, raw, columns)
+        rows = rows.where(F.col("Year").isin([y for y in years if y is not None]) | F.col("Year").isNull())
+        match = F.lit(True)
+        for c in schema.SESSION_KEY:
+            match &= F.col(c).eqNullSafe(F.col(f"held_{c}"))
+        whole = rows.join(held, match, "left_semi").hint("rebalance", *schema.SESSION_KEY)
+        writer = whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*schema.SESSION_KEY).parquet(bronze)
+
     run = (
         raw_stream(spark, raw, columns, max_files)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("Year")
+        .writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(replace)
         .trigger(availableNow=True)
-        .start(bronze)
+        .start()
     )
     run.awaitTermination()

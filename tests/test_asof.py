@@ -75,13 +75,13 @@ def test_random_results_match_the_definition(make_results, seed, n):
 def test_calendar_and_coverage_match_the_definition(make_results, seed):
     results = make_results(random_rows(seed), (lambda d: d.year - (d.toordinal() % 5 == 0)) if seed == 6 else None)
     ours = calendar.last_n_rounds(results, 4).toPandas()
-    ranks = "SELECT dt_ref, Year, RoundNumber, rn FROM ranked WHERE rn <= 4"
+    ranks = "SELECT dt_ref, Year, RoundNumber, place AS rn FROM standing WHERE place <= 4"
     assert differences(ours, plain(results, ranks)) == ""
     ours = coverage.eligible_drivers(results).toPandas()
-    assert differences(ours, plain(results, "SELECT * FROM eligible WHERE DriverId IS NOT NULL")) == ""
+    assert differences(ours, plain(results, "SELECT dt_ref, DriverId FROM latest WHERE season >= ref_year - 2 AND DriverId IS NOT NULL")) == ""
     ours = coverage.asof_sessions(results).toPandas()
     counts = """SELECT dt_ref, COUNT(*) AS qty_rows, COUNT(DISTINCT DriverId) AS qty_drivers,
-                COUNT(DISTINCT Year * 100 + RoundNumber) AS qty_rounds FROM known GROUP BY dt_ref"""
+                COUNT(DISTINCT Year * 100 + RoundNumber) AS qty_rounds FROM spine JOIN results ON CAST(Date AS DATE) <= dt_ref GROUP BY dt_ref"""
     assert differences(ours, plain(results, counts)) == ""
 
 
@@ -89,7 +89,7 @@ def test_wide_equals_joined_windows(make_results):
     results = make_results(random_rows(7))
     windows = (1, 2, 5)
     wide = features.driver_all_statistic(results, windows)
-    joined = features.consolidate({n: asof.driver_statistic(results, n) for n in windows})
+    joined = features.side_by_side({n: asof.driver_statistic(results, n) for n in windows})
     assert wide.columns == joined.columns
     assert len(wide.columns) == 2 + 45 * 3
     assert differences(wide.toPandas(), joined.toPandas()) == ""

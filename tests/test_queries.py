@@ -9,12 +9,6 @@ from checks.compare import differences, duck
 
 from conftest import SF
 
-# Run in full by checks/compare.py; each takes long or repeats a plan tested here.
-SLOW = {
-    "driver_statistic_10", "driver_statistic_20", "driver_statistic_40", "split_sizes", "null_profile", "impute_sentinel",
-    "training_matrix", "fit_forest", "score_abt", "feature_importance", "season_tail_sampling", "filter_entities_seasons",
-    "driver_all_statistic", "first_team", "season_domain", "color_lookup", "scored_with_team", "consolidate_windows",
-}
 ORACLES = entry.oracle_sql()
 
 
@@ -22,7 +16,7 @@ def test_every_oracle_belongs_to_a_query():
     assert set(ORACLES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n in ORACLES and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n in ORACLES])
 def test_query_equals_its_statement(spark, name):
     ours = entry.queries()[name](spark, SF).toPandas()
     assert differences(ours, duck(SF).execute(ORACLES[name]).df()) == ""
@@ -31,3 +25,8 @@ def test_query_equals_its_statement(spark, name):
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 47 and df.count() > 0
+
+
+def test_reading_order(spark):
+    rows = entry.queries()["driver_statistic_ordered"](spark, SF).select("dt_ref", "DriverId").collect()
+    assert rows == sorted(rows, key=lambda r: (-r["dt_ref"].toordinal(), r["DriverId"]))

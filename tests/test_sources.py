@@ -145,3 +145,28 @@ def test_stage_goes_to_the_configured_folder(spark, make_results):
     folder = spark.conf.get("spark.checkpoint.dir")
     assert all(folder in f for f in staged.inputFiles())
     assert staged.schema == schema.RESULTS
+
+
+def test_enrichment_keeps_every_row_and_refuses_a_session_listed_twice(spark, make_results):
+    rows = make_results(ROWS)
+    texts = {"OfficialEventName": "o", "EventName": "e", "Country": "c", "Location": "l"}
+    listed = rows.select(*schema.SESSION_KEY, "Date").distinct().withColumns({k: F.lit(v) for k, v in texts.items()})
+    kept = raw.enrich_sessions(rows.drop("Date"), listed.where("Year <> 2019"))
+    assert kept.count() == rows.count()
+    assert kept.where("Year = 2019 AND EventName IS NOT NULL").count() == 0
+    assert kept.where("Year <> 2019 AND EventName IS NULL").count() == 0
+    with pytest.raises(Exception, match="listed twice"):
+        raw.enrich_sessions(rows.drop("Date"), listed.unionByName(listed)).collect()
+
+
+def test_sessions_with_a_null_key_part_are_known(make_results):
+    rows = make_results(ROWS).withColumn("Mode", F.lit(None).cast("string"))
+    assert raw.new_sessions(rows, rows).count() == 0
+
+
+def test_streamed_tables_are_found_and_partition_folders_not_entered(spark, make_results, tmp_path):
+    root = tmp_path / "layer"
+    (root / "streamed" / "_spark_metadata").mkdir(parents=True)
+    (root / "streamed" / "Year=2019").mkdir()
+    (root / "Year=2020" / "x" / "_delta_log").mkdir(parents=True)
+    assert publish.layer_tables(spark, str(root)) == [f"{root}/streamed"]
