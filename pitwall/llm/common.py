@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,21 +40,24 @@ def text_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]
 MAP_BITS = 1 << 25
 
 
-def _marked(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """Adds `_maybe`: whether `name` may be among `keys`; false only for values that are not.
+def _marked(df: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """`df` with a column that says whether `name` may be among `keys`, and that column's name.
 
-    Keys become bits of a map of fixed size, in rows of 4 KiB, 1,024 at most, which is
-    broadcast. With very many keys the map fills up and marks all rows.
+    It is false only for values that are not. Keys become bits of a map of fixed size, in
+    rows of 4 KiB, 1,024 at most, which is broadcast. With very many keys the map fills
+    up and marks all rows. The helping columns have names that no table has.
     """
+    tag = uuid.uuid4().hex
+    bucket, bit, bits, maybe = (f"{x}_{tag}" for x in ("bucket", "bit", "bits", "maybe"))
     place = F.pmod(F.xxhash64(name), F.lit(MAP_BITS)) + 1
-    maps = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_map")
+    maps = keys.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias(bucket)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias(bits)
     )
     maps = stage(maps, "bitmap")
-    marked = df.withColumn("_bucket", F.bitmap_bucket_number(place)).withColumn("_bit", F.bitmap_bit_position(place))
-    marked = marked.join(F.broadcast(maps), "_bucket", "left")
-    held = "(cast(conv(hex(substring(_map, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(_bit % 8 as int)) & 1"
-    return marked.withColumn("_maybe", F.expr(f"_map IS NOT NULL AND {held} = 1")).drop("_bucket", "_bit", "_map")
+    marked = df.withColumn(bucket, F.bitmap_bucket_number(place)).withColumn(bit, F.bitmap_bit_position(place))
+    marked = marked.join(F.broadcast(maps), bucket, "left")
+    held = f"(cast(conv(hex(substring({bits}, cast({bit} div 8 as int) + 1, 1)), 16, 10) as int) >> cast({bit} % 8 as int)) & 1"
+    return marked.withColumn(maybe, F.expr(f"{bits} IS NOT NULL AND {held} = 1")).drop(bucket, bit, bits), maybe
 
 
 def narrowed(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
@@ -61,12 +65,13 @@ def narrowed(df: DataFrame, keys: DataFrame, name: str) -> DataFrame:
 
     Wide rows that no key wants stay out of the shuffle of the join that follows.
     """
-    return _marked(df, keys, name).where("_maybe").drop("_maybe")
+    marked, maybe = _marked(df, keys, name)
+    return marked.where(maybe).drop(maybe)
 
 
 def without(df: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """Rows of `df` whose `name` is not among `ids`. Only rows that may be move for the join; null names stay."""
-    marked = _marked(df, ids, name)
-    sure = F.col(name).isNull() | ~F.col("_maybe")
+    marked, maybe = _marked(df, ids, name)
+    sure = F.col(name).isNull() | ~F.col(maybe)
     rest = marked.where(~sure).join(ids.select(name).distinct(), name, "left_anti")
     return marked.where(sure).select(*df.columns).unionByName(rest.select(*df.columns))

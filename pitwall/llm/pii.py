@@ -27,10 +27,10 @@ KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
 
 #: Most tokens of an entity, texts and regions of the fitted sample, passes over it, least posterior of an added span.
-MAX_TOKENS = 6
+MAX_TOKENS = 8
 SAMPLE = 1500
 REGIONS = 900
-PASSES = 6
+PASSES = 10
 CERTAIN = 0.9
 
 # The plain forms.
@@ -50,7 +50,9 @@ CUES = {
 }
 
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]", re.IGNORECASE)
+#: A word that joins the words around it.
+_JOINT = re.compile(r"@|[(\[](?:at|dot)[)\]]", re.IGNORECASE)
 _EDGE = ".,;:!?\"'<>{}|"
 
 
@@ -129,8 +131,14 @@ def regions(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[list[Tok
         while end < len(text) and not text[end].isspace():
             end += 1
         hot = end
+        if _JOINT.fullmatch(text[start:end]):
+            around = tokens_of(text, max(0, start - 40), start), tokens_of(text, end, min(len(text), end + 40))
+            start = around[0][-1][1] if around[0] else start
+            end = around[1][0][2] if around[1] else end
         # One word between two triggers joins them, as in "name at host (dot) org".
-        if found and len(text[found[-1][1] : start].split()) <= 1 and start - found[-1][1] <= 24:
+        if found and start <= found[-1][1]:
+            found[-1] = (found[-1][0], max(end, found[-1][1]))
+        elif found and len(text[found[-1][1] : start].split()) <= 1 and start - found[-1][1] <= 24:
             found[-1] = (found[-1][0], end)
         else:
             found.append((start, end))
@@ -173,12 +181,12 @@ def features(span: str, n_tokens: int, left: str, right: str) -> list[str]:
     if span[0] == "(" and re.match(r"\([0-9]{2,5}\)", span):
         out.append("area")
     low = span.lower()
-    at = re.search(r"@|[(\[]at[)\]]| at ", low)
+    at = re.search(r"@|[(\[]at[)\]]", low)
     if at:
         name, host = low[: at.start()].strip(), low[at.end() :].strip()
-        host = re.sub(r"\s*[(\[]dot[)\]]\s*| dot ", ".", host)
+        host = re.sub(r"\s*[(\[]dot[)\]]\s*", ".", host)
         good = bool(re.fullmatch(r"[a-z0-9._%+-]+", name)) and bool(re.fullmatch(r"[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}", host))
-        out.append(f"address={good},{at[0] == ' at '}")
+        out.append(f"address={good}")
     if re.fullmatch(r"(?=.*[a-f])(?=.*[0-9])[0-9a-f]+", low):
         out.append("hex")
     for kind, cues in CUES.items():
@@ -202,7 +210,7 @@ class SemiMarkov:
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
                 span = text_of(tokens[i][1], tokens[j - 1][2])
-                if not _TRIGGER.search(span) and " at " not in span.lower():
+                if not _TRIGGER.search(span):
                     continue
                 out[i, j] = features(
                     span, j - i, tokens[i - 1][0].lower() if i else left, tokens[j][0].lower() if j < len(tokens) else right
@@ -299,9 +307,9 @@ def rewritten(kind: str, span: str, pick: random.Random) -> tuple[str, bool]:
     digits = digits_of(span)
     if kind == "email":
         name, host = span.split("@", 1)
-        dot = pick.choice([".", " (dot) ", "[dot]", " dot "])
-        at = pick.choice([" (at) ", "(at)", " [at] ", "[at]", " at ", " @ ", "@ "])
-        return name + at + host.replace(".", dot if at.strip() != "@" and at != " at " else "."), True
+        dot = pick.choice([".", ".", " (dot) ", "[dot]"])
+        at = pick.choice([" (at) ", "(at)", " [at] ", "[at]", " @ "])
+        return name + at + host.replace(".", dot), True
     if kind == "ip":
         if pick.random() < 0.5:
             return span.replace(".", "[.]"), True

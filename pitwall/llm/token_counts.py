@@ -140,7 +140,8 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT
         (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("first")) & (docs["content"] == F.col("wanted")),
         "left_semi",
     )
-    new = chosen.select("content", "text").mapInArrow(encode, "content binary, n_tokens long")
+    # Rows that repeat both id and text come twice.
+    new = chosen.select("content", "text").mapInArrow(encode, "content binary, n_tokens long").dropDuplicates(["content"])
     new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
     return rows.join(stored(), "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -1,0 +1,493 @@
+"""The training-data operators against brute force, round trips and held-out rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from pitwall.llm import ann, bpe, decontaminate, html_text, langid, ngram_join, pii, secret_scan, shards, token_counts
+from pitwall.llm.common import narrowed, without
+from pitwall.llm.components import components
+from pitwall.llm.queries import QUERIES, TOKENIZER, digests
+from pitwall.session import staging_path
+
+SF = "/root/testdata/sf0.001"
+PATH = public_tokenizers.path(TOKENIZER)
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, word string, _map string"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return {r["doc_id"]: r["text"] for r in documents.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, blank, very long and repeated texts, null ids, and extra columns of clashing names."""
+    long = " ".join(f"word{i % 977} of{i}" for i in range(40_000))
+    rows = [
+        (1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "one"), (6, "one two three four five six"),
+        (6, "one two three four five six"), (7, long), (8, long + " more"), (None, "no id here at all"), (9, "<|endoftext|> x é 🙂"),
+    ]
+    return spark.createDataFrame([(i, t, None, None, None, "k", "w", "m") for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(odd):
+    return odd.limit(0)
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def grams(ws):
+    return [tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))] if ws else []
+
+
+def linked(texts):
+    """doc_id -> (set size, smallest linked doc_id), over all pairs."""
+    sets = {i: frozenset(grams(words(t))) for i, t in texts.items()}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for x, a in enumerate(ids):
+        for b in ids[x + 1 :]:
+            both = len(sets[a] & sets[b]) if sets[a] and sets[b] else 0
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                p, q = top(a), top(b)
+                up[max(p, q)] = min(p, q)
+    return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+def joined(df):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(df).collect()}
+
+
+def test_ngram_join_equals_all_pairs(documents, texts):
+    assert joined(documents) == linked(texts)
+
+
+def test_ngram_join_of_near_copies_chains_and_hot_passages(spark):
+    pick = random.Random(3)
+    passage = " ".join(f"common{i}" for i in range(40))
+    base = [f"w{i}" for i in range(60)]
+    found = {}
+    for i in range(300):
+        if i % 3 == 0:  # a large group of near copies
+            own = list(base)
+            own[pick.randrange(60)] = f"x{i}"
+            found[i] = " ".join(own)
+        elif i % 3 == 1:  # unlike texts that share a passage
+            found[i] = passage + " " + " ".join(f"u{i}_{k}" for k in range(pick.randrange(20, 90)))
+        else:  # a chain, each like the one before
+            found[i] = " ".join(f"c{k}" for k in range(i // 3, i // 3 + 60))
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string").repartition(4)
+    assert joined(df) == linked(found)
+
+
+def test_ngram_join_of_odd_rows(odd, none):
+    rows = ngram_join.ngram_join(odd).collect()
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows}
+    assert len(rows) == 11
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 2, 6)} <= got
+    assert {c for i, _, c in got if i in (7, 8)} == {7}
+    assert {c for i, _, c in got if i is None} == {None}
+    assert ngram_join.ngram_join(none).count() == 0
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
+    df = spark.createDataFrame([*edges, (None, 1)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
+
+
+def test_narrowing_loses_no_wanted_row(spark):
+    df = spark.range(5000).withColumn("text", F.lit("t"))
+    keys = df.where("id % 7 = 0").select("id")
+    assert narrowed(df, keys, "id").join(keys, "id", "left_semi").count() == keys.count()
+    assert narrowed(df, keys, "id").count() < 2500
+    assert without(df, keys, "id").count() == 5000 - keys.count()
+
+
+def exact(rows, queries, k):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for i in queries:
+        s = (x * x[ids == i][0]).sum(axis=1)
+        order = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
+        out[i] = [(int(ids[j]), float(s[j])) for j in order]
+    return out
+
+
+def found_near(df):
+    out = defaultdict(list)
+    for r in df.orderBy("query_id", "rank").collect():
+        out[r["query_id"]].append((r["vec_id"], r["score"]))
+    return dict(out)
+
+
+def test_nearest_in_one_part_is_exact(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    got = found_near(QUERIES["op2_nearest"](spark, SF))
+    assert got == exact(rows, [i for i, _ in rows if i % 20 == 0], 20)
+
+
+def test_nearest_in_learned_parts_reaches_its_recall(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PART_ROWS", 500)
+    draw = np.random.default_rng(5)
+    centres = draw.normal(size=(12, 16))
+    x = centres[draw.integers(0, 12, 4000)] + 0.6 * draw.normal(size=(4000, 16))
+    x[:900] = x[0]  # one very common vector
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found_near(ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0))
+    true = exact(rows, range(0, 4000, 50), 20)
+    assert got.keys() == true.keys() and all(len(v) == 20 for v in got.values())
+    assert got[0] == true[0]  # ties by the smaller id
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in true[q]}) for q in true) >= 0.9 * 20 * len(true)
+
+
+def test_nearest_leaves_out_unusable_vectors(spark):
+    nan = float("nan")
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, vector int")
+    assert found_near(ann.nearest(df, F.col("vec_id") % 20 == 0)) == {0: [(1, 0.5)]}
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def check_shards(rows, texts_by_row):
+    load, where, slots = Counter(), defaultdict(set), defaultdict(list)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    return load
+
+
+def test_shards_are_even_and_keep_equal_texts_together(spark, documents, texts):
+    rows = QUERIES["op3_lpt_shards"](spark, SF).collect()
+    load = check_shards(rows, texts)
+    group = defaultdict(set)
+    for r in rows:
+        text = texts[r["doc_id"]]
+        group[text].add(r["shard"])
+        assert (r["size"], r["text_crc32"]) == (len(text.encode()) + 8, zlib.crc32(text.encode()))
+    assert all(len(s) == 1 for s in group.values()) and {r["law"] for r in rows} == {"bytes"}
+    # Plain LPT, group by group.
+    sizes = Counter()
+    for t in texts.values():
+        sizes[t] += len(t.encode()) + 8
+    plain = [0] * 24
+    for n in sorted(sizes.values(), reverse=True):
+        plain[plain.index(min(plain))] += n
+    assert max(load.values()) <= max(plain) * 1.01
+
+
+def test_shards_of_odd_rows(odd, none):
+    rows = shards.lpt_shards(odd, 3).collect()
+    check_shards(rows, None)
+    assert len(rows) == 11 and {r["size"] for r in rows if r["doc_id"] in (1, 2)} == {8}
+    assert len({r["shard"] for r in rows if r["doc_id"] in (1, 2)}) == 1
+    assert shards.lpt_shards(none).count() == 0
+
+
+def test_dealing_a_class_of_many_groups_is_even():
+    plan = shards.deal([(10, 24_000_007, 240_000_070), (500, 3, 1500)], 24)
+    given = Counter()
+    for _, ends, which in plan:
+        for a, b, s in zip([0, *ends], ends, which):
+            given[s] += b - a
+    assert sum(given.values()) == 24_000_010 and max(given.values()) - min(given.values()) <= 51
+
+
+ALPHABET = ["a", "b", " ", "  ", "\n", "\t", "'s", "'ll", "é", "\xa0", "　", "1", "23", "!", "?!", "<|endoftext|>", "<|endof",
+            "日本", "🙂", "\r\n", "\x1c", "\x85", "ſ", "'", "̀", "\x00", "²", "Ⅷ"]
+
+
+def test_bpe_gives_the_ids_of_the_library():
+    library, own, pick = Tokenizer.from_file(PATH), bpe.vocabulary(PATH), random.Random(4)
+    cases = ["".join(pick.choices(ALPHABET, k=pick.randrange(30))) for _ in range(4000)]
+    cases += ["", "a" * 5000, "ab" * 3000, " " * 999 + "x", "\n " * 50, "=" * 700, "x" * 41 + "'s"]
+    for text, packed, true in zip(cases, own.encode_batch(cases), library.encode_batch(cases, add_special_tokens=False), strict=True):
+        ids = np.frombuffer(packed, np.int32)
+        assert ids.tolist() == true.ids, text
+        assert own.decode(ids) == library.decode(true.ids, skip_special_tokens=False) == text
+
+
+def test_bpe_remembers_no_more_than_it_may(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    own, library = bpe.Vocabulary(PATH), Tokenizer.from_file(PATH)
+    cases = [" ".join(f"w{i * j}" for j in range(15)) for i in range(40)]
+    for text in cases * 2:
+        assert np.frombuffer(own.encode(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(own.known) <= 40 and len(own.words) <= 40
+
+
+def test_bpe_and_counts_of_odd_rows(spark, odd, none):
+    library = Tokenizer.from_file(PATH)
+    rows = bpe.encode_decode(odd, PATH).collect()
+    assert len(rows) == 11
+    encoded = sorted((r["decoded"], r["ids"]) for r in rows)
+    assert encoded == sorted((r["text"] or "", library.encode(r["text"] or "", add_special_tokens=False).ids) for r in odd.collect())
+    digest = digests(bpe.encode_decode(odd.where("doc_id = 4"), PATH)).first()
+    assert digest["ids_sha256"] == hashlib.sha256(",".join(map(str, library.encode("one").ids)).encode()).hexdigest()
+    assert digest["decoded_sha256"] == hashlib.sha256(b"one").hexdigest()
+    assert bpe.encode_decode(none, PATH).count() == 0
+
+    cache = staging_path(spark, "cache")
+    counts = token_counts.token_counts(odd, PATH, cache).collect()
+    true = Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "").ids)) for r in odd.collect())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in counts) == true
+    assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in counts)
+    stored = spark.read.parquet(cache)
+    assert stored.count() == len({r["text"] or "" for r in odd.collect()})
+    # A second run has no misses; another tokenizer has its own.
+    assert sorted(map(tuple, token_counts.token_counts(odd, PATH, cache).collect()), key=str) == sorted(map(tuple, counts), key=str)
+    assert spark.read.parquet(cache).count() == stored.count()
+    piece = token_counts.token_counts(odd.where("doc_id = 6"), public_tokenizers.path("piece_bpe_32k.model"), cache).first()
+    assert piece["n_tokens"] > 0 and spark.read.parquet(cache).count() == stored.count() + 1
+    assert token_counts.token_counts(none, PATH, cache).count() == 0
+
+
+def test_languages_are_told_on_held_out_rows(spark):
+    found = QUERIES["op5_language"](spark, "/root/testdata/sf0.01")
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    rows = found.join(known, "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+    assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) < 0.02 * len(rows)
+
+
+def test_languages_of_odd_rows(odd, none, documents):
+    books = langid.learn(documents)
+    rows = {r["doc_id"]: r for r in langid.identify(odd, books).collect()}
+    assert all(rows[i]["lang_pred"] == "und" and rows[i]["rejected"] and rows[i]["score"] == 0 for i in (1, 2, 3))
+    assert langid.identify(none, books).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(odd, langid.learn(none)).collect()} == {"und"}
+    assert langid.accepted(odd, books).columns == odd.columns
+    assert langid.learn(documents.where(~langid.held_out(F.col("doc_id")))) == books
+
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for kind, pattern in BASE.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(p) <= 255 for p in m[0].split(".")),
+                "card": lambda: 16 <= len(digits) <= 19 and pii.luhn(digits),
+                "phone": lambda: 8 <= len(digits) <= 15,
+            }[kind]()
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans_equal_the_patterns(texts):
+    pick = random.Random(9)
+    bits = ["a", "@", ".", "-", "b.c", "1", "12", "255", "256", "+", " ", "(", ")", "4111 1111 1111 1111", "@@", "x@y.z", "%", "é", "007"]
+    cases = ["".join(pick.choices(bits, k=pick.randrange(14))) for _ in range(6000)] + list(texts.values())
+    for text in cases:
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_model_finds_other_forms_and_leaves_clean_texts_alone(documents):
+    model = pii.learn(documents.sparkSession.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+    def added(text):
+        return [(k, text[a:b]) for k, a, b in model.added(text, pii.base_spans(text))]
+
+    assert added("please write to anna.b (at) mail5.example.com today") == [("email", "anna.b (at) mail5.example.com")]
+    assert [k for k, _ in added("seen at 74[.]42[.]69[.]78 again")] == ["ip"]
+    for clean in ("the year 1998 and 24 others", "commit 0cab398dc11d1a2a11dc6572c8df8bd228c864f3 done", "version 2.0 of 1,000", ""):
+        assert added(clean) == []
+    text = "mail a.b@c.de or +1 (456) 555-2186."
+    assert pii.masked(text, pii.base_spans(text)) == "mail [EMAIL] or [PHONE]."
+
+
+def test_best_segmentation_and_posteriors_equal_all_segmentations():
+    model, pick = pii.SemiMarkov(), random.Random(2)
+    scores = {(i, i + 1, pii.OTHER): 0.0 for i in range(5)}
+    for i in range(5):
+        for j in range(i + 1, min(5, i + 3) + 1):
+            for k in pii.KINDS:
+                scores[i, j, k] = pick.gauss(0, 2)
+
+    def every(at):
+        if at == 5:
+            yield []
+        for s in scores:
+            if s[0] == at:
+                for rest in every(s[1]):
+                    yield [s, *rest]
+
+    ways = list(every(0))
+    weigh = [sum(scores[s] for s in w) for w in ways]
+    assert model.best(scores, 5) == ways[int(np.argmax(weigh))]
+    total, sure = sum(np.exp(weigh)), model.posteriors(scores, 5)
+    for s in scores:
+        assert sure[s] == pytest.approx(sum(np.exp(x) for w, x in zip(ways, weigh) if s in w) / total)
+
+
+def test_personal_data_of_odd_rows(spark, odd, none):
+    rows = pii.personal_data(odd, pii.learn(none)).collect()
+    assert len(rows) == 11 and all(r["base"] == [] and r["added"] == [] for r in rows)
+    assert pii.personal_data(none, pii.SemiMarkov()).count() == 0
+    masked = pii.mask(odd, pii.SemiMarkov())
+    assert masked.columns == odd.columns and masked.where("text IS NULL").count() == 1
+    one = QUERIES["op6_personal_data"](spark, SF).where("n_email + n_ip + n_card + n_phone = 0 AND n_added = 0").first()
+    assert one["spans"] == "" and one["base_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def article(source):
+    """The article by plain patterns, for the shape of the test pages."""
+    inner = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1]
+    blocks = [" ".join(re.sub(r"<[^>]*>", " ", b).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in map(html_text.html.unescape, blocks) if b)
+
+
+def test_main_text_of_all_pages(spark):
+    sources = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = QUERIES["op7_main_text"](spark, SF).collect()
+    assert len(rows) == len(sources)
+    for r in rows:
+        assert r["text"] == article(sources[r["page_id"]]) and r["n_chars"] == len(r["text"])
+
+
+def test_style_trees_cut_what_a_host_repeats(spark):
+    furniture = "<div class=top>Welcome to our site</div>{}<div class=end>All rights kept</div>"
+    body = "<div class=story><p>Story {0} &amp; more &#8364;</p><p>Part  {0}\n two<br>end</div><div class='side-ad'>Buy {0}</div>"
+    pages = [(i, f"http://h.example/{i}", furniture.format(body.format(i))) for i in range(8)]
+    pages += [(20, "http://other.example/", furniture.format(body.format(20))), (21, None, None), (22, "x", ""),
+              (23, "http://h.example/c", "<main>kept<!-- not --> <script>no<p></script></main><nav>no</nav><div class=comments>no</div>"),
+              (24, "http://h.example/d", "<p>cut <b>off <a href='x"), (0, "http://h.example/0", furniture.format(body.format(0)))]
+    df = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, low string")
+    got = defaultdict(list)
+    for r in html_text.extract(df).collect():
+        got[r["page_id"]].append(r["text"])
+    for i in range(8):
+        assert got[i][0] == f"Story {i} & more €\nPart {i} two end"
+    assert got[20] == ["Welcome to our site\nStory 20 & more €\nPart 20 two end\nAll rights kept"]  # alone on its host
+    assert got[21] == got[22] == [""] and got[23] == ["kept"] and got[24] == ["cut off"] and len(got[0]) == 2
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_secrets_are_told_from_other_findings(spark, odd, none):
+    rows = secret_scan.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    ruled = [r for r in rows if r["rule"]]
+    right = sum(r["is_secret"] == (r["rule"] in ("provider key", "assignment")) for r in ruled)
+    assert len(ruled) > 20 and right >= 0.95 * len(ruled)
+    assert secret_scan.scan(odd).where("is_secret").count() == 0
+    assert secret_scan.scan(none).count() == 0
+
+
+def leaks(documents, benchmark):
+    items = {i: grams(words(t)) for i, t in benchmark}
+    lengths = {i: len(words(t)) for i, t in benchmark}
+    index = defaultdict(list)
+    for i, gs in items.items():
+        for k, g in enumerate(gs):
+            index[g].append((i, k))
+    out = set()
+    for doc, text in documents:
+        gs = grams(words(text))
+        windows = {(max(0, p - k), lengths[i]) for p, g in enumerate(gs) for i, k in index.get(g, ())}
+        for start, n in windows:
+            window = Counter(gs[start : start + max(1, n - 4)])
+            for i, item in items.items():
+                both, all_ = sum((window & Counter(item)).values()), sum((window | Counter(item)).values())
+                if all_ and 5 * both >= 4 * all_:
+                    out.add((doc, i))
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    folder = "/root/testdata/sf0.01"
+    documents = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
+    rows = QUERIES["op10_decontaminate"](spark, folder).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == leaks(documents, benchmark)
+    assert all(r["hamming"] <= decontaminate.RADIUS and r["similarity"] >= 0.8 for r in rows)
+
+
+def test_leaks_of_odd_rows(spark, odd, none):
+    items = [(1, "One TWO three four five six"), (2, "one"), (3, None), (4, ""), (5, "a b a b a b a b a b a b"), (5, "a b a b a b a b a b a b")]
+    benchmark = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, doc_id int")
+    more = odd.select("doc_id", "text").unionByName(
+        spark.createDataFrame([(20, "x y " + "a b " * 6 + "z"), (21, "x one y")], "doc_id long, text string")
+    )
+    rows = decontaminate.contaminated(more, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(6, 1), (4, 2), (5, 2), (20, 5)}
+    assert decontaminate.contaminated(none, benchmark).count() == 0
+    assert decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
+
+
+def test_pipeline_equals_its_steps(spark, documents, texts):
+    kept = documents
+    rows = {r["doc_id"]: r["text"] for r in kept.collect()}
+    books = langid.learn(documents)
+    classify = langid.Classifier(books)
+    rows = {i: t for i, t in rows.items() if (f := classify(t))[0] != "und" and f[1] >= langid.MARGIN}
+    rows = {i: t for i, t in rows.items() if linked_cache(rows)[i][1] == i}
+    benchmark = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    gone = {d for d, _ in leaks(list(rows.items()), benchmark)}
+    rows = {i: t for i, t in rows.items() if i not in gone}
+    out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, SF).collect()}
+    assert out.keys() == rows.keys()
+    clean = [i for i, t in rows.items() if not re.search("[0-9@]", t)]
+    for i in clean:
+        assert out[i]["decoded_sha256"] == hashlib.sha256(rows[i].encode()).hexdigest()
+    for i, t in rows.items():
+        if pii.base_spans(t):
+            assert out[i]["decoded_sha256"] != hashlib.sha256(t.encode()).hexdigest()
+
+
+_LINKS: dict = {}
+
+
+def linked_cache(rows):
+    key = tuple(sorted(rows))
+    if key not in _LINKS:
+        _LINKS[key] = linked(rows)
+    return _LINKS[key]
+
+
+def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, none):
+    for docs in (odd, none):
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            out = function(spark, docs, SF)
+            assert out.columns == docs.columns and out.count() <= docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+    kept = corpus_pipeline.near_copies(spark, odd, SF)
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 3, 4, 6, 7, None, 9])
