@@ -3,6 +3,8 @@
 Parts are counts and (sum, count) pairs over a set of rows. They can be added up and
 taken away again, so a window is kept up to date by adding the rows that enter it and
 subtracting those that leave. `finals` turns the parts of a window into statistics.
+Finite values are summed as decimals, so taking one away leaves no rest however large it
+was; NaN and infinities are counted beside them, for the same reason.
 
 All lists hold SQL expressions: one parse of a wide SELECT is far cheaper than building
 hundreds of Column objects.
@@ -37,21 +39,35 @@ _MEASURES = {
     "position": "Position",
     "overtake": "GridPosition - Position",
 }
+#: Sums keep 16 fraction digits. A value of this size or more stops the job.
+_DECIMAL = "DECIMAL(38, 16)"
+LARGEST = 1e18
+# What is counted of values that no decimal holds.
+_NOT_FINITE = {"nan": "'NaN'", "high": "'Infinity'", "low": "'-Infinity'"}
+_TOO_LARGE = f"raise_error('a result of {LARGEST:g} or more, or a sum beyond 22 digits')"
+
+
+def _exact(value: str) -> str:
+    """A value as a decimal; null and what is not finite as 0."""
+    number = f"CAST({value} AS DOUBLE)"
+    finite = f"if(abs({number}) < {LARGEST:.0f}D, CAST({number} AS {_DECIMAL}), {_TOO_LARGE})"
+    return f"if({number} IS NULL OR isnan({number}) OR abs({number}) = DOUBLE('Infinity'), 0, {finite})"
 
 
 def parts() -> list[str]:
     """Aggregates over raw result rows."""
     out = [f"count_if({flag}) AS n_{name}" for name, flag in _FLAGS.items()]
     for name, value in _MEASURES.items():
-        out += [f"coalesce(sum({value}), 0D) AS sum_{name}", f"count({value}) AS cnt_{name}"]
-    return [*out, "count_if(Points <> 0) AS nonzero_points"]
+        out += [f"coalesce(sum({_exact(value)}), {_TOO_LARGE}) AS sum_{name}", f"count({value}) AS cnt_{name}"]
+        out += [f"count_if({value} = DOUBLE({what})) AS {kind}_{name}" for kind, what in _NOT_FINITE.items()]
+    return out
 
 
 def part_names(scope: str = "") -> list[str]:
     names = [f"n_{name}" for name in _FLAGS if not (scope and name in _OVERALL_ONLY)]
     for name in _MEASURES:
-        names += [f"sum_{name}", f"cnt_{name}"]
-    return [*names, "nonzero_points"]
+        names += [f"sum_{name}", f"cnt_{name}", *[f"{kind}_{name}" for kind in _NOT_FINITE]]
+    return names
 
 
 def scoped() -> list[tuple[str, str]]:
@@ -71,14 +87,21 @@ def _rows(name: str, scope: str) -> str:
     return f"(cnt_{name}{scope} + n_sessions - n_sessions{scope})" if scope else f"cnt_{name}"
 
 
+def _sum(name: str, scope: str) -> str:
+    nan, high, low = (f"{kind}_{name}{scope} > 0" for kind in _NOT_FINITE)
+    finite = f"CAST(coalesce(sum_{name}{scope}, {_TOO_LARGE}) AS DOUBLE)"
+    return (
+        f"CASE WHEN {nan} OR ({high} AND {low}) THEN DOUBLE('NaN') WHEN {high} THEN DOUBLE('Infinity') "
+        f"WHEN {low} THEN DOUBLE('-Infinity') ELSE {finite} END"
+    )
+
+
 def _total(scope: str) -> str:
-    # Adding and subtracting fractions can leave a rest near 0; no non-zero row means 0.
-    clean = f"if(nonzero_points{scope} = 0, 0D, sum_points{scope})"
-    return f"if({_rows('points', scope)} > 0, {clean}, NULL)"
+    return f"if({_rows('points', scope)} > 0, {_sum('points', scope)}, NULL)"
 
 
 def _average(name: str, scope: str) -> str:
-    return f"round(try_divide(sum_{name}{scope}, CAST({_rows(name, scope)} AS DOUBLE)), 2)"
+    return f"round(try_divide({_sum(name, scope)}, CAST({_rows(name, scope)} AS DOUBLE)), 2)"
 
 
 # The statistics in table order. True marks those repeated by mode.

@@ -66,7 +66,8 @@ def _changes(visits: DataFrame, windows: Sequence[int]) -> DataFrame:
             "seasons",
             "if(sign = 1, Year, NULL) AS entered_year",
             "Mode",
-            *[f"sign * {name} AS {name}" for name in metrics.part_names()],
+            # Not a product: that would cut the digits of a decimal.
+            *[f"CASE sign WHEN 1 THEN {name} WHEN -1 THEN -{name} ELSE 0 END AS {name}" for name in metrics.part_names()],
         )
     )
 
