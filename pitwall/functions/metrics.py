@@ -3,8 +3,9 @@
 Parts are counts and (sum, count) pairs over a set of rows. They can be added up and
 taken away again, so a window is kept up to date by adding the rows that enter it and
 subtracting those that leave. `finals` turns the parts of a window into statistics.
-Finite values are summed as decimals, so taking one away leaves no rest however large it
-was; NaN and infinities are counted beside them, for the same reason.
+NaN and infinities are counted beside the sums, so a window recovers when one leaves it.
+Points are summed as decimals, so taking one away leaves no rest however large it was.
+Places are summed as doubles, which is exact for whole places of limited size and much faster.
 
 All lists hold SQL expressions: one parse of a wide SELECT is far cheaper than building
 hundreds of Column objects.
@@ -39,18 +40,19 @@ _MEASURES = {
     "position": "Position",
     "overtake": "GridPosition - Position",
 }
-#: Sums keep 16 fraction digits. A value of this size or more stops the job.
+#: Sums of points keep 16 fraction digits. Larger points, places or sums stop the job.
 _DECIMAL = "DECIMAL(38, 16)"
-LARGEST = 1e18
-# What is counted of values that no decimal holds.
+LARGEST_POINTS, LARGEST_PLACE = 1e18, 1e9
+_TOO_LARGE = "raise_error('points or places too large to add up')"
+# What is counted of values that no sum recovers from.
 _NOT_FINITE = {"nan": "'NaN'", "high": "'Infinity'", "low": "'-Infinity'"}
-_TOO_LARGE = f"raise_error('a result of {LARGEST:g} or more, or a sum beyond 22 digits')"
 
 
-def _exact(value: str) -> str:
-    """A value as a decimal; null and what is not finite as 0."""
+def _addend(name: str, value: str) -> str:
+    """A value as it is added up; null and what is not finite as 0."""
     number = f"CAST({value} AS DOUBLE)"
-    finite = f"if(abs({number}) < {LARGEST:.0f}D, CAST({number} AS {_DECIMAL}), {_TOO_LARGE})"
+    limit, kind = (LARGEST_POINTS, _DECIMAL) if name == "points" else (LARGEST_PLACE, "DOUBLE")
+    finite = f"if(abs({number}) < {limit:.0f}D, CAST({number} AS {kind}), {_TOO_LARGE})"
     return f"if({number} IS NULL OR isnan({number}) OR abs({number}) = DOUBLE('Infinity'), 0, {finite})"
 
 
@@ -58,7 +60,7 @@ def parts() -> list[str]:
     """Aggregates over raw result rows."""
     out = [f"count_if({flag}) AS n_{name}" for name, flag in _FLAGS.items()]
     for name, value in _MEASURES.items():
-        out += [f"coalesce(sum({_exact(value)}), {_TOO_LARGE}) AS sum_{name}", f"count({value}) AS cnt_{name}"]
+        out += [f"coalesce(sum({_addend(name, value)}), {_TOO_LARGE}) AS sum_{name}", f"count({value}) AS cnt_{name}"]
         out += [f"count_if({value} = DOUBLE({what})) AS {kind}_{name}" for kind, what in _NOT_FINITE.items()]
     return out
 
