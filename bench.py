@@ -33,7 +33,11 @@ HEADLINE = [
     "entity_dimension",
     "pivot_probability",
     "incremental_new_sessions",
+    "fit_forest",
+    "ingest_stream",
 ]
+#: Run once before the clock starts, so that no timed query pays for the start of the session.
+WARM_UP = "season_points"
 
 
 def main() -> None:
@@ -50,6 +54,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
+    QUERIES[WARM_UP](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
         start = time.perf_counter()

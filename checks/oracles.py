@@ -130,6 +130,27 @@ sums AS (
     select="SELECT split, ROUND((rank_sum - p * (p + 1) / 2) / nullif(p * n, 0), 9) AS auc FROM sums",
 )
 
+SQL["roc_curve_by_split"] = L.query(
+    L.RESULTS,
+    L.labelled(),
+    _SPLIT,
+    """
+by_score AS (
+  SELECT split, CAST(total_points_5 AS DOUBLE) AS threshold, SUM(flChampion) AS pos, SUM(1 - flChampion) AS neg
+  FROM split WHERE total_points_5 IS NOT NULL GROUP BY ALL
+),
+steps AS (
+  SELECT *, SUM(neg) OVER down / nullif(CAST(SUM(neg) OVER (PARTITION BY split) AS DOUBLE), 0) AS fpr,
+         SUM(pos) OVER down / nullif(CAST(SUM(pos) OVER (PARTITION BY split) AS DOUBLE), 0) AS tpr,
+         lead(pos) OVER down AS next_pos, lead(neg) OVER down AS next_neg, row_number() OVER down AS nth
+  FROM by_score WINDOW down AS (PARTITION BY split ORDER BY threshold DESC)
+)""",
+    select=f"""
+    SELECT split, threshold, fpr, tpr FROM steps
+    WHERE nth = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+    UNION ALL SELECT split, start.* FROM (SELECT DISTINCT split FROM split), ({_START}) AS start""",
+)
+
 # --- model: one tree of one split, the best by Gini gain over all rows of the training split,
 # in which both classes weigh the same. (Spark joins leaves of one class again; with equal weights the two differ.)
 _STUMP = ("qty_1place_5", "qty_place_5", "qty_seasons_40", "qty_poli_win_20", "qty_sessions_with_points_10")

@@ -110,9 +110,13 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in names)
 
 
+def next_version(spark: SparkSession, root: str) -> int:
+    return max(versions(spark, root), default=0) + 1
+
+
 def save_model(model: PipelineModel, spark: SparkSession, root: str) -> int:
     """Store under the next version; versions already there are kept."""
-    version = max(versions(spark, root), default=0) + 1
+    version = next_version(spark, root)
     model.write().save(f"{root.rstrip('/')}/v={version}")
     return version
 

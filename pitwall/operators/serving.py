@@ -68,6 +68,14 @@ def top_probability(scored: DataFrame, k: int = 5) -> DataFrame:
     return scored.orderBy(F.col("dt_ref").desc(), F.col("prob_win").desc_nulls_last(), "DriverId").limit(k)
 
 
+def default_selection(scored: DataFrame) -> tuple[list[str], list[int]]:
+    """The teams of the five most probable rows of the newest dates, and the newest season.
+    Five rows and one number come to the driver."""
+    top = top_probability(scored.select("dt_ref", "DriverId", "Year", "prob_win", "driver_team_id")).collect()
+    newest = scored.agg(F.max("Year")).first()[0]
+    return sorted({r["driver_team_id"] for r in top if r["driver_team_id"] is not None}), [] if newest is None else [newest]
+
+
 def season_domain(scored: DataFrame) -> DataFrame:
     """The seasons to choose from, the newest marked."""
     seasons = scored.select("Year").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pitwall import schema
 from pitwall.operators import asof, champions, features, forest, ranking, serving
-from pitwall.session import pin_utc, stage
+from pitwall.session import pin_utc, stage, staged_for_job
 from pitwall.sources import layers, publish, raw
 
 
@@ -41,13 +41,13 @@ def run_silver(
     results = bronze_results(spark, bronze)
     layers.write_table(champions.champions(results), silver, "champions")
 
-    wide = stage(asof.all_windows(results, windows, year_stop), "windows")
-    for n in windows:
-        layers.write_table(asof.one_window(wide, n), silver, f"driver_statistic_{n}")
-    everywhere = features.present_everywhere(wide, windows)
-    layers.write_table(everywhere, silver, "driver_all_statistic")
+    with staged_for_job(spark):
+        wide = stage(asof.all_windows(results, windows, year_stop), "windows")
+        for n in windows:
+            layers.write_table(asof.one_window(wide, n), silver, f"driver_statistic_{n}")
+        layers.write_table(features.present_everywhere(wide, windows), silver, "driver_all_statistic")
 
-    winners = layers.read_table(spark, silver, "champions")
+    winners, everywhere = (layers.read_table(spark, silver, n) for n in ("champions", "driver_all_statistic"))
     layers.write_table(features.label(everywhere, winners), silver, "tb_abt")
 
 
@@ -70,6 +70,8 @@ def run_train(
 ) -> tuple[DataFrame, DataFrame, PipelineModel]:
     """Fit on the training split, measure every split, refit on all rows and store.
 
+    The areas under the curve, the curves of the splits and the importances are stored
+    with the model's version, before the model itself: a stored model has its results.
     Returns (split, auc), the importances, and the stored model.
     """
     pin_utc(spark)
@@ -77,13 +79,23 @@ def run_train(
     names = features.feature_columns(abt)
     split = features.temporal_split(abt, train_before, test_year, oot_year)
     model = forest.fit(split.where("split = 'train'"), names, trees, max_depth)
-    scored = forest.predict(model, split).select("split", schema.LABEL, "prob_win")
-    auc = ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
-    importance = forest.feature_importance(model, spark)
-
-    final = forest.fit(abt, names, trees, max_depth)
+    version = forest.next_version(spark, models)
+    root = results_root(models, version)
+    with staged_for_job(spark):
+        scored = stage(forest.predict(model, split).select("split", schema.LABEL, "prob_win"), "split_scores")
+        auc = ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
+        layers.write_table(auc, root, "auc")
+        layers.write_table(ranking.roc_curve(scored, "prob_win", schema.LABEL, ["split"]), root, "roc_curve")
+        layers.write_table(forest.feature_importance(model, spark), root, "importance")
+        final = forest.fit(abt, names, trees, max_depth)
     forest.save_model(final, spark, models)
-    return auc, importance, final
+    importance = layers.read_table(spark, root, "importance").orderBy(F.col("importance").desc(), "feature")
+    return layers.read_table(spark, root, "auc"), importance, final
+
+
+def results_root(models: str, version: int) -> str:
+    """Where the tables `auc`, `roc_curve` and `importance` of a model's version are."""
+    return f"{models.rstrip('/')}/results/{version}"
 
 
 def score(model: PipelineModel, abt: DataFrame, results: DataFrame) -> DataFrame:
@@ -101,4 +113,20 @@ def run_score(spark: SparkSession, bronze: str, silver: str, models: str, gold:
     if model is None:
         raise FileNotFoundError(f"no model under {models}")
     abt = layers.read_table(spark, silver, "tb_abt")
-    layers.write_table(score(model, abt, bronze_results(spark, bronze)), gold, "scored")
+    with staged_for_job(spark):
+        layers.write_table(score(model, abt, bronze_results(spark, bronze)), gold, "scored")
+
+
+def run_serving(spark: SparkSession, gold: str) -> None:
+    """The tables shown first, from the stored scores: the first team of every entity, the
+    most probable rows, the seasons, and for the default selection its rows, their
+    pivot and their colours."""
+    scored = layers.read_table(spark, gold, "scored")
+    ids, seasons = serving.default_selection(scored)
+    chosen = serving.filter_entities_seasons(scored, ids, seasons)
+    layers.write_table(serving.first_team(scored), gold, "first_team")
+    layers.write_table(serving.top_probability(scored), gold, "top_probability")
+    layers.write_table(serving.season_domain(scored), gold, "season_domain")
+    layers.write_table(chosen, gold, "selected")
+    layers.write_table(serving.pivot_probability(chosen, ids), gold, "pivot_probability")
+    layers.write_table(serving.color_lookup(chosen, ids), gold, "color_lookup")

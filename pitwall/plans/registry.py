@@ -58,14 +58,6 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.scored_with_team(abt, stage(serving.entity_dimension(results(spark, sf_dir)), "entities"))
 
 
-def _chosen(scored: DataFrame) -> tuple[list[str], list[int]]:
-    """The default selection: the teams of the five most probable rows, newest season.
-    Five rows and one number come to the driver."""
-    top = serving.top_probability(scored.select("dt_ref", "DriverId", "Year", "prob_win", "driver_team_id"))
-    ids = [r["driver_team_id"] for r in top.collect() if r["driver_team_id"] is not None]
-    return ids, [scored.agg(F.max("Year")).first()[0]]
-
-
 # --- season results -----------------------------------------------------------------
 
 
@@ -217,6 +209,13 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return auc.select("split", F.round("auc", 9).alias("auc"))
 
 
+@query
+def roc_curve_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    abt = _stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
+    curve = ranking.roc_curve(features.temporal_split(abt, **SPLIT), "total_points_5", schema.LABEL, ["split"])
+    return curve.withColumn("threshold", F.nullif("threshold", F.lit(float("inf"))))
+
+
 # --- model --------------------------------------------------------------------------
 
 
@@ -295,14 +294,14 @@ def season_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def filter_entities_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
-    return serving.filter_entities_seasons(scored, *_chosen(scored))
+    return serving.filter_entities_seasons(scored, *serving.default_selection(scored))
 
 
 @query
 def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default pivot in long form: the names of the pivoted columns depend on the data."""
     scored = _scored(spark, sf_dir)
-    ids, seasons = _chosen(scored)
+    ids, seasons = serving.default_selection(scored)
     pivoted = serving.pivot_probability(serving.filter_entities_seasons(scored, ids, seasons), ids)
     return pivoted.unpivot(["dt_ref"], sorted(ids), "driver_team_id", "mean_prob_win")
 
@@ -310,7 +309,7 @@ def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def color_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
-    ids, seasons = _chosen(scored)
+    ids, seasons = serving.default_selection(scored)
     return serving.color_lookup(serving.filter_entities_seasons(scored, ids, seasons), sorted(ids))
 
 

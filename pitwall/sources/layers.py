@@ -9,9 +9,26 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from pitwall.session import remove_folder
+
+#: Formats whose tables are replaced by a new version folder. Others bring snapshots of their own.
+PLAIN = ("parquet", "orc", "json", "csv")
+_VERSION = re.compile(r"v=[0-9]+")
 QUERY_FOLDER = Path(__file__).resolve().parent.parent / "plans" / "sql"
 
 
+def _version_numbers(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n[2:]) for n, is_folder in list_folder(spark, path).items() if is_folder and _VERSION.fullmatch(n))
+
+
+def newest(spark: SparkSession, path: str) -> str:
+    """The folder of a table's newest finished version; the table's own folder if it has no versions."""
+    for number in reversed(_version_numbers(spark, path)):
+        if "_SUCCESS" in list_folder(spark, f"{path}/v={number}"):
+            return f"{path}/v={number}"
+    return path
+
+
 def read_table(
     spark: SparkSession, root: str, name: str, fmt: str = "parquet", schema: StructType | None = None
 ) -> DataFrame:
@@ -19,31 +36,34 @@ def read_table(
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(f"{root.rstrip('/')}/{name}")
+    return reader.load(newest(spark, f"{root.rstrip('/')}/{name}"))
 
 
 def write_table(
     df: DataFrame, root: str, name: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> str:
     """Replace a layer table whole. Rows are written by the tasks that hold them, so the
-    number of files follows the data.
+    number of files follows the data. The folder written to is returned.
 
-    A plain file format deletes the old files first, so a plan that still reads them is
-    refused. Table formats with snapshots allow it.
+    A plain file format gets a new version folder, which counts from the moment its write
+    has finished: readers see the old table or the new one, and a plan may read the
+    table it replaces. The version before stays for those who still read it, older ones
+    and what broken-off writes left below it are removed. One writer at a time.
     """
-    path = f"{root.rstrip('/')}/{name}"
-    if fmt in ("parquet", "orc", "json", "csv") and _reads(df, path):
-        raise ValueError(f"{path} is read by the plan that would overwrite it; write to a new name")
+    spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
     writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
-    return path
-
-
-def _reads(df: DataFrame, path: str) -> bool:
-    folder = re.sub(r"^[a-z0-9]+:/+", "/", path.rstrip("/")) + "/"
-    return any(folder in re.sub(r"^[a-z0-9]+:/+", "/", f) for f in df.inputFiles())
+    if fmt not in PLAIN:
+        writer.save(path)
+        return path
+    before, numbers = newest(spark, path), _version_numbers(spark, path)
+    target = f"{path}/v={max(numbers, default=0) + 1}"
+    writer.save(target)
+    for number in numbers:
+        if before != path and number < int(before.rpartition("=")[2]):
+            remove_folder(spark, f"{path}/v={number}")
+    return target
 
 
 def publish_view(df: DataFrame, name: str) -> None:

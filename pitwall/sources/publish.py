@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from pitwall.schema import SESSION_KEY
-from pitwall.sources.layers import list_folder
+from pitwall.sources.layers import list_folder, newest
 
 # Fixed value: rows per insert statement.
 BATCH_ROWS = 1000
@@ -21,8 +21,8 @@ def table_name(root: str, path: str, prefix: str = "") -> str:
 
 
 def layer_tables(spark: SparkSession, root: str) -> list[str]:
-    """Folders below `root` that hold a table: a table log, a finished write or a stream's
-    sink log. Partition folders (`key=value`) are never entered.
+    """Folders below `root` that hold a table: versions, a table log, a finished write or a
+    stream's sink log. Partition folders (`key=value`) are never entered.
 
     Listed with the file system of `root`, so object stores work as local folders do.
     """
@@ -30,7 +30,7 @@ def layer_tables(spark: SparkSession, root: str) -> list[str]:
     while folders:
         folder = folders.pop()
         children = list_folder(spark, folder)
-        if children.keys() & {"_delta_log", "_SUCCESS", "_spark_metadata"}:
+        if children.keys() & {"_delta_log", "_SUCCESS", "_spark_metadata"} or newest(spark, folder) != folder:
             found.append(folder)
         else:
             folders += [f"{folder}/{n}" for n, is_folder in children.items() if is_folder and n[0] not in "_." and "=" not in n]
@@ -59,7 +59,7 @@ def publish_layer(
     names = []
     for path in layer_tables(spark, root):
         name = table_name(root, path, prefix)
-        jdbc_writer(spark.read.format(fmt).load(path), url, name, options).save()
+        jdbc_writer(spark.read.format(fmt).load(newest(spark, path)), url, name, options).save()
         names.append(name)
     return names
 

@@ -72,7 +72,7 @@ def test_stream_takes_each_file_once(spark, make_results, tmp_path):
     assert counts == [2, 2, 5]
 
 
-def test_layer_tables_names_and_overwrite_guard(spark, make_results, tmp_path):
+def test_layer_tables_names_and_replacement(spark, make_results, tmp_path):
     root = str(tmp_path / "silver")
     rows = make_results(ROWS)
     layers.write_table(rows, root, "results", partition_by=["Year"])
@@ -81,10 +81,23 @@ def test_layer_tables_names_and_overwrite_guard(spark, make_results, tmp_path):
     assert [publish.table_name(root, p) for p in found] == ["nested_one", "results"]
     assert publish.table_name(root, found[1], "lab") == "lab_results"
     stored = layers.read_table(spark, root, "results")
-    with pytest.raises(ValueError, match="read by the plan"):
-        layers.write_table(stored, root, "results")
-    layers.write_table(rows.where("Year = 2019"), root, "results", partition_by=["Year"])
+    assert stored.count() == 5 and "v" not in stored.columns
+    # A plan may read the table it replaces, and a reader keeps the whole table it began with.
+    layers.write_table(stored.where("Year = 2019"), root, "results", partition_by=["Year"])
     assert layers.read_table(spark, root, "results").count() == 2
+    assert stored.count() == 5
+    assert publish.layer_tables(spark, root) == found
+
+
+def test_an_unfinished_version_does_not_count(spark, make_results, tmp_path):
+    root, rows = str(tmp_path), make_results(ROWS)
+    first = layers.write_table(rows, root, "results")
+    (tmp_path / "results" / "v=2").mkdir()
+    assert layers.newest(spark, f"{root}/results") == first
+    for _ in range(3):
+        layers.write_table(rows.limit(1), root, "results")
+    assert sorted(p.name for p in (tmp_path / "results").iterdir()) == ["v=4", "v=5"]
+    assert layers.read_table(spark, root, "results").count() == 1
 
 
 def test_views_and_stored_statements(spark, make_results, tmp_path):
