@@ -77,11 +77,10 @@ def run_train(
     pin_utc(spark)
     abt = layers.read_table(spark, silver, "tb_abt")
     names = features.feature_columns(abt)
-    split = features.temporal_split(abt, train_before, test_year, oot_year)
-    model = forest.fit(split.where("split = 'train'"), names, trees, max_depth)
-    version = forest.next_version(spark, models)
-    root = results_root(models, version)
+    root = results_root(models, forest.next_version(spark, models))
     with staged_for_job(spark):
+        split = features.temporal_split(abt, train_before, test_year, oot_year)
+        model = forest.fit(split.where("split = 'train'"), names, trees, max_depth)
         scored = stage(forest.predict(model, split).select("split", schema.LABEL, "prob_win"), "split_scores")
         auc = ranking.roc_auc(scored, "prob_win", schema.LABEL, ["split"]).withColumn("auc", F.round("auc", 4))
         layers.write_table(auc, root, "auc")
