@@ -1,21 +1,25 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
 Everything is DataFrame operations. A shingle is five neighbouring words (all words of a
-shorter text). A window of an item's length is laid wherever a shingle of the document is
-a shingle of an item, so that the two stand at the same place; a window without any has a
-similarity of 0. Every window gets a 64-bit SimHash, each shingle as often as it occurs.
-The bits are cut into blocks: two fingerprints within RADIUS differ in some block by
-RADIUS // BLOCKS bits at most, so looking up each block of a window among the items'
-blocks and all their neighbours by that many bits finds all items within the radius.
-Candidates are kept when the weighted overlap of the shingles, weights being their
-counts, is 0.8 of the weighted union or more.
+shorter text). Where a document has a shingle of an item, windows of the item's length are
+laid at every start that takes the shingle in. A running count of the shingles that any
+item has drops those windows, and no others, that cannot be similar to an item. Every
+window left gets a 64-bit SimHash, each shingle as often as it occurs, from running sums
+over the document. The bits are cut into blocks: two fingerprints within RADIUS differ in
+some block by RADIUS // BLOCKS bits at most, so looking up each block of a window among the
+items' blocks and all their neighbours by that many bits finds all items within the radius.
+Candidates are kept when the weighted overlap of the shingles, weights being their counts,
+is 0.8 of the weighted union or more. A shingle adds to the overlap of the windows that
+begin at or before it, and after the place where the item's count of it is used up; so the
+overlaps of all windows come from one running sum as well, and the work grows with the
+length of an item, not with its square.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitwall.llm.common import columns_of, narrowed, stage, whole
@@ -24,8 +28,8 @@ WORDS = 5
 RADIUS = 19
 #: Widths of the blocks; 64 bits in all.
 BLOCKS = (13, 13, 13, 13, 12)
-#: Bits b, b + 16, b + 32 and b + 48 of a fingerprint, counted in four lanes of one number.
-LANES = 0x0001000100010001
+#: Bits b and b + 32 of a fingerprint, counted in two lanes of one number.
+LANES = 0x0000000100000001
 LANE_MAX = 65_535
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,19 +56,116 @@ def shingles(text: F.Column) -> F.Column:
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
+def _bits() -> list[F.Column]:
+    """The bits of h in lanes, to be summed."""
+    return [F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES)).alias(f"s{b}") for b in range(32)]
+
+
+def _print() -> F.Column:
+    """The SimHash of n shingles whose lanes have the sums s0 to s31."""
+    total = F.lit(0).cast("long")
+    for b in range(32):
+        for lane in range(2):
+            ones = f"(shiftrightunsigned(s{b}, {32 * lane}) & 4294967295L)"
+            total = total.bitwiseOR(F.expr(f"if(2 * {ones} > n, shiftleft(1L, {b + 32 * lane}), 0L)"))
+    return total
+
+
 def _fingerprints(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Adds `print`, the SimHash of the array `held`; at most LANE_MAX shingles each."""
-    flat = rows.select(*key, F.explode("held").alias("h"))
-    sums = [F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(LANES))).alias(f"s{b}") for b in range(16)]
-    counted = flat.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *sums)
-    bits = [
-        F.expr(f"if(2 * (shiftrightunsigned(s{b}, {16 * lane}) & {LANE_MAX}) > n, shiftleft(1L, {b + 16 * lane}), 0L)")
-        for b in range(16) for lane in range(4)
-    ]
-    total = bits[0]
-    for bit in bits[1:]:
-        total = total.bitwiseOR(bit)
-    return rows.join(counted.select(*key, total.alias("print")), key)
+    """Adds `print`, the SimHash of the array `held`."""
+    flat = rows.select(*key, F.explode("held").alias("h")).select(*key, *_bits())
+    counted = flat.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"s{b}").alias(f"s{b}") for b in range(32)])
+    return rows.join(counted.select(*key, _print().alias("print")), key)
+
+
+def _running(key: list[str], *order: str) -> Window:
+    return Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _windows(anchors: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, copy, n_words, start, stop (shingles) of each window that may be similar to an item.
+
+    `anchors` are the places of items' shingles. Similar texts have 0.8 of the window's
+    shingles in common at least.
+    """
+    key = ["doc_id", "copy", "n_words"]
+    lengths = items.select("n_words", F.explode("held").alias("h")).distinct()
+    width = F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1))
+    widths = anchors.join(lengths, "h").select(*key).distinct().withColumn("width", width)
+    # Reached: starts that take in a shingle of an item of this length. Shared: shingles of any item.
+    own = anchors.join(lengths, "h").select(*key, "pos", F.lit(1).alias("own")).distinct()
+    marks = anchors.select("doc_id", "copy", "size", "pos").distinct().join(widths, ["doc_id", "copy"])
+    marks = marks.join(own, [*key, "pos"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    begin = F.struct(F.greatest(F.col("pos") - F.col("width") + 1, F.lit(0)).alias("at"), F.lit(1).alias("d"))
+    end = F.struct((F.col("pos") + 1).alias("at"), F.lit(-1).alias("d"))
+    steps = marks.select(*key, "width", "size", "own", F.explode(F.array(begin, end)).alias("e"))
+    steps = steps.groupBy(*key, "width", "size", F.col("e.at").alias("at")).agg(
+        F.sum("e.d").alias("shared"), F.sum(F.col("e.d") * F.col("own")).alias("reached")
+    )
+    runs = steps.select(
+        *key, "width", "size", "at",
+        F.lead("at").over(Window.partitionBy(*key).orderBy("at")).alias("next"),
+        *[F.sum(c).over(_running(key, "at")).alias(c) for c in ("shared", "reached")],
+    )
+    # The least window of a run is its last, where the text ends.
+    least = F.least(F.col("width"), F.col("size") - F.col("next") + 1)
+    runs = runs.where((F.col("reached") > 0) & (5 * F.col("shared") >= 4 * least))
+    starts = runs.withColumn("start", F.explode(F.sequence("at", F.col("next") - 1)))
+    starts = starts.withColumn("stop", F.least(F.col("start") + F.col("width"), F.col("size")))
+    return starts.where(5 * F.col("shared") >= 4 * (F.col("stop") - F.col("start"))).select(*key, "start", "stop")
+
+
+def _window_prints(texts: DataFrame, windows: DataFrame) -> DataFrame:
+    """`windows` with their SimHash `print`: differences of running sums over the part of the text that has windows."""
+    key = ["doc_id", "copy"]
+    part = windows.groupBy(*key).agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+    held = narrowed(texts, part.select("doc_id"), "doc_id").select("doc_id", _copy(), "text").join(part, key)
+    held = held.dropDuplicates(key)
+    held = held.select(
+        *key, "first", F.posexplode(F.slice(shingles(whole()), F.col("first") + 1, F.col("last") - F.col("first"))).alias("i", "h")
+    )
+    rows = held.select(
+        *key, (F.col("first") + F.col("i")).alias("at"), F.lit(1).alias("turn"), "h",
+        *[F.lit(None).cast("int").alias(c) for c in ("n_words", "start", "stop", "sign")],
+    )
+    # A window's bounds stand before the shingle at their place.
+    bounds = F.array(
+        F.struct(F.col("start").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("stop").alias("at"), F.lit(1).alias("sign"))
+    )
+    asked = windows.select(*key, "n_words", "start", "stop", F.explode(bounds).alias("b")).select(
+        *key, "b.at", F.lit(0).alias("turn"), F.lit(0).cast("long").alias("h"), "n_words", "start", "stop", "b.sign"
+    )
+    over = _running(key, "at", "turn")
+    sums = rows.unionByName(asked).select(*key, "n_words", "start", "stop", "sign", "at", "turn", *_bits())
+    sums = sums.select(*key, "n_words", "start", "stop", "sign", *[F.sum(f"s{b}").over(over).alias(f"s{b}") for b in range(32)])
+    sums = sums.where("sign IS NOT NULL").groupBy(*key, "n_words", "start", "stop").agg(
+        *[F.sum(F.col("sign") * F.col(f"s{b}")).alias(f"s{b}") for b in range(32)]
+    )
+    return sums.withColumn("n", F.col("stop") - F.col("start")).select(*key, "n_words", "start", "stop", _print().alias("print"))
+
+
+def _overlaps(anchors: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`pairs` of windows and items with `overlap`, the number of shingles in common."""
+    key = ["doc_id", "copy", "n_words", "item_no"]
+    counts = items.select("item_no", F.explode("held").alias("h")).groupBy("item_no", "h").agg(F.count(F.lit(1)).cast("int").alias("k"))
+    places = anchors.groupBy("doc_id", "copy", "h").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    hits = pairs.select(*key).distinct().join(places, ["doc_id", "copy"]).join(counts, ["item_no", "h"])
+    hits = hits.withColumn("width", F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1)))
+    spans = F.expr(
+        "transform(places, (p, i) -> struct(greatest(0, p - width + 1, if(i >= k, places[i - k] + 1, 0)) AS lo, p + 1 AS hi))"
+    )
+    spans = hits.select(*key, F.explode(spans).alias("s"))
+    steps = spans.select(*key, F.explode(F.expr("array(struct(s.lo AS at, 1 AS d), struct(s.hi AS at, -1 AS d))")).alias("e"))
+    steps = steps.groupBy(*key, F.col("e.at").alias("at")).agg(F.sum("e.d").alias("d")).withColumn("turn", F.lit(0))
+    asked = pairs.withColumn("at", F.col("start")).withColumn("d", F.lit(0).cast("long")).withColumn("turn", F.lit(1))
+    rows = steps.unionByName(asked, allowMissingColumns=True)
+    rows = rows.withColumn("overlap", F.sum("d").over(_running(key, "at", "turn")))
+    return rows.where("turn = 1").select(*pairs.columns, "overlap")
+
+
+def _copy() -> F.Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(whole()).alias("copy")
 
 
 def _blocks() -> F.Column:
@@ -101,23 +202,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     texts = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     items = item_shingles(benchmark)
-    grams = stage(
-        items.select("n_words", F.posexplode("held").alias("at", "h")).distinct(), "decontam_shingles"
-    )
-    anchors = texts.select("doc_id", F.posexplode(shingles(whole())).alias("pos", "h")).join(grams, "h")
-    windows = anchors.select(
-        "doc_id", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words"
-    ).distinct()
-    windows = stage(windows, "decontam_windows")
-
-    # The texts that have a window, cut into their windows.
-    held = narrowed(texts, windows.select("doc_id"), "doc_id")
-    held = held.select("doc_id", shingles(whole()).alias("all")).join(windows, "doc_id")
-    width = F.greatest(F.col("n_words") - (WORDS - 1), F.lit(1))
-    held = held.select("doc_id", "start", "n_words", F.slice("all", F.col("start") + 1, width).alias("held"))
-    held = held.where(F.size("held") > 0).dropDuplicates(["doc_id", "start", "n_words", "held"])
-    held = stage(held.withColumn("window", F.xxhash64("doc_id", "start", "n_words", "held")), "decontam_held")
-    prints = stage(_fingerprints(held, ["window"]).select("window", "print").distinct(), "decontam_prints")
+    grams = stage(items.select(F.explode("held").alias("h")).distinct(), "decontam_shingles")
+    places = texts.select("doc_id", _copy(), F.explode(F.array(shingles(whole()))).alias("all"))
+    places = places.select("doc_id", "copy", F.size("all").alias("size"), F.posexplode("all").alias("pos", "h"))
+    anchors = stage(places.join(grams, "h").distinct(), "decontam_anchors")
+    windows = stage(_windows(anchors, items), "decontam_windows")
+    windows = stage(_window_prints(texts, windows), "decontam_prints")
 
     masks = F.create_map(*[
         x for width in sorted(set(BLOCKS)) for x in (F.lit(width), F.array(*[F.lit(m) for m in _near_masks(width)]))
@@ -125,32 +215,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     near = items.select("item_no", F.col("print").alias("item_print"), _blocks().alias("b"))
     near = near.select("item_no", "item_print", "b.block", "b.value", F.explode(masks[F.col("b.width")]).alias("mask"))
     near = near.select("item_no", "item_print", "block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-    probes = prints.select("window", "print", _blocks().alias("b")).select("window", "print", "b.block", "b.value")
+    # Neighbouring windows share fingerprints: each is looked up once.
+    prints = windows.select("print").distinct()
+    probes = prints.select("print", _blocks().alias("b")).select("print", "b.block", "b.value")
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    pairs = (
+    alike = (
         probes.join(stage(near, "decontam_near"), ["block", "value"])
         .withColumn("hamming", hamming)
         .where(F.col("hamming") <= RADIUS)
-        .select("window", "item_no", "hamming")
+        .select("print", "item_no", "hamming")
         .distinct()
     )
-    checked = (
-        stage(pairs, "decontam_pairs")
-        .join(held, "window")
-        .join(items.select("item_no", "item_id", F.col("held").alias("item")), "item_no")
-    )
-    count = "size(filter({0}, y -> y = x))"
-    overlap = F.expr(
-        "aggregate(array_distinct(item), 0, (s, x) -> s + least("
-        f"{count.format('held')}, {count.format('item')}))"
-    )
-    sizes = F.size("held") + F.size("item")
-    # Written, as the overlap is used several times below and would be counted anew for each.
-    checked = stage(
-        checked.select("doc_id", "item_id", "start", "n_words", "hamming", sizes.alias("sizes"), overlap.alias("overlap")),
-        "decontam_overlaps",
-    )
-    union = F.col("sizes") - F.col("overlap")
+    pairs = stage(windows.join(alike, "print").drop("print"), "decontam_pairs")
+    sizes = items.select("item_no", "item_id", F.size("held").alias("item_size"))
+    checked = _overlaps(anchors, items, pairs).join(sizes, "item_no")
+    union = F.col("stop") - F.col("start") + F.col("item_size") - F.col("overlap")
     found = checked.where(5 * F.col("overlap") >= 4 * union).withColumn("similarity", F.col("overlap") / union)
     best = F.max_by(
         F.struct("start", "hamming", "similarity"), F.struct("similarity", -F.col("hamming"), -F.col("start"))

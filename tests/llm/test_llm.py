@@ -453,6 +453,55 @@ def test_leaks_of_odd_rows(spark, odd, none):
     assert decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def leaks_at_every_start(documents, benchmark):
+    """(doc, item) -> number of similar windows, from windows of the lengths of items met, at every start."""
+    items, out = {}, Counter()
+    for i, t in benchmark:
+        items.setdefault(i, Counter(grams(words(t))))
+    lengths = {i: len(words(t)) for i, t in benchmark}
+    for doc, text in documents:
+        gs = grams(words(text))
+        for n in sorted({lengths[i] for i, item in items.items() if not item.keys().isdisjoint(gs)}):
+            own = {g for i, item in items.items() if lengths[i] == n for g in item}
+            for start in range(len(gs)):
+                window = Counter(gs[start : start + max(1, n - 4)])
+                if own.isdisjoint(window):
+                    continue
+                for i, item in items.items():
+                    both, all_ = sum((window & item).values()), sum((window | item).values())
+                    if 5 * both >= 4 * all_:
+                        out[doc, i] += 1
+    return out
+
+
+def test_leaks_are_found_at_every_start(spark):
+    pick = random.Random(11)
+    names = [f"n{k}" for k in range(400)]
+    items, documents = [], []
+    for i in range(12):
+        few = names if i % 3 else names[: 6 + i]  # some items repeat their shingles
+        items.append((i, " ".join(pick.choices(few, k=pick.randrange(5, 90)) if i else names[:60])))
+    documents.append((0, " ".join(names[100:120] + names[30:60] + names[:30] + names[200:240])))  # parts changed places
+    for d in range(1, 90):
+        own = items[pick.randrange(12)][1].split()
+        cut = pick.randrange(len(own))
+        if d % 3 == 0:
+            own = own[cut:] + own[:cut]
+        elif d % 3 == 1:
+            own[cut : cut + pick.randrange(4)] = pick.choices(names, k=pick.randrange(4))
+        else:
+            own = own[: len(own) - len(own) // 9] if d % 2 else own[len(own) // 9 :]
+        documents.append((d, " ".join(pick.choices(names, k=pick.randrange(30)) + own + pick.choices(names, k=pick.randrange(30) * (d % 4)))))
+    rows = decontaminate.contaminated(
+        spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    true = leaks_at_every_start(documents, items)
+    got = {(r["doc_id"], r["item_id"]): r["n_windows"] for r in rows}
+    assert (0, 0) in got and got.keys() == true.keys()
+    assert all(got[k] <= true[k] for k in got) and sum(got.values()) >= 0.95 * sum(true.values())
+    assert next(r["similarity"] for r in rows if (r["doc_id"], r["item_id"]) == (0, 0)) == pytest.approx(52 / 60)
+
+
 def test_pipeline_equals_its_steps(spark, documents, texts):
     kept = documents
     rows = {r["doc_id"]: r["text"] for r in kept.collect()}
