@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pitwall.llm.common import columns_of, stage, whole
 
-#: Labelled findings of the fitted sample on average, trees, their depth and the least probability of a secret.
+#: Labelled findings of the fitted sample on average, half of them of each label; trees, their depth and the least probability of a secret.
 SAMPLE = 20_000
 TREES = 40
 DEPTH = 8
@@ -130,34 +130,48 @@ def rule_label(found: DataFrame) -> DataFrame:
     return found.withColumn("rule", rule).withColumn("label", label)
 
 
+def _totals(labelled: DataFrame) -> dict[float, int]:
+    """Rows of each label, by the label."""
+    rows = labelled.where("label IS NOT NULL").groupBy(F.col("label").cast("double").alias("label")).count().orderBy("label")
+    return {r["label"]: r["count"] for r in rows.collect()}
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row for each finding: doc_id, word_no, value, rule, probability, is_secret.
 
     `docs` has doc_id, text and source. `labelled` has the columns of `described` and
-    label, 0.0 or 1.0; without it the findings a rule settles are the labels, of which
-    about SAMPLE, drawn by a hash, are fitted. If only one label occurs, it is the
-    probability of every finding; without any it is 0.5. A finding is a secret at CERTAIN
-    or more. Null, empty and findingless texts give no row; repeated rows give theirs
+    label, 0.0 or 1.0; without it the findings a rule settles are the labels. About
+    SAMPLE / 2 of each label, drawn by a hash, are then fitted, all of a label that has
+    fewer, and both labels weigh the same, however rare one is. If only one label occurs,
+    it is the probability of every finding; without any it is 0.5. A provider key has the
+    probability 1 whatever the forest says. A finding is a secret at CERTAIN or more. Null, empty and findingless texts give no row; repeated rows give theirs
     again; a null source is an empty path; other columns are ignored.
     """
     found = stage(rule_label(described(findings(docs))), "secret_findings")
     names = [("path_number" if f == "path" else f) for f in FEATURES]
+    weight = F.lit(1.0)
     if labelled is None:
         labelled = found.where("label IS NOT NULL")
-        total = labelled.count()
-        share = int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30))
+        share, totals = F.lit(0), _totals(labelled)
+        for label, total in totals.items():
+            share = F.when(F.col("label") == label, int(min(1.0, SAMPLE / 2 / total) * (1 << 30))).otherwise(share)
+            weight = F.when(F.col("label") == label, 1 / min(1.0, 2 * total / SAMPLE)).otherwise(weight)
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "word_no", "value"), F.lit(1 << 30)) < share)
-    labelled = stage(labelled.select(*names, F.col("label").cast("double")), "secret_labels")
-    kinds = [r["label"] for r in labelled.groupBy("label").count().orderBy("label").collect() if r["label"] is not None]
+        kinds = list(totals)
+    else:
+        kinds = list(_totals(labelled))
+    labelled = stage(labelled.select(*names, F.col("label").cast("double"), weight.alias("weight")), "secret_labels")
     if len(kinds) < 2:
         scored = found.withColumn("probability", F.lit(kinds[0] if kinds else 0.5))
     else:
         vectors = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="keep")
         forest = RandomForestClassifier(
-            featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2
+            featuresCol="vector", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2
         ).fit(vectors.transform(labelled.where("label IS NOT NULL")))
         chances = forest.transform(vectors.transform(found))
         scored = chances.withColumn("probability", F.round(vector_to_array("probability")[1], 6))
+    sure = F.coalesce(F.col("rule") == "provider key", F.lit(False))
+    scored = scored.withColumn("probability", F.when(sure, 1.0).otherwise(F.col("probability")))
     return scored.select(
         "doc_id", "word_no", "value", "rule", "probability", (F.col("probability") >= CERTAIN).alias("is_secret")
     )
