@@ -385,6 +385,19 @@ def test_main_text_of_all_pages(spark):
         assert r["text"] == article(sources[r["page_id"]]) and r["n_chars"] == len(r["text"])
 
 
+def test_page_text_survives_code_and_layout_classes():
+    code = "<script>for(i=0;i<n;i++){f(i)}</script><style>a<b{}</style>"
+    assert html_text.main_text(f"<p>one</p>{code}<p>two</p>") == "one\ntwo"
+    assert html_text.main_text(f"<head><title>a<b</title>{code}</head><body><article><p>one</p>{code}<p>two</p></article>") == "one\ntwo"
+    assert html_text.main_text("<p>one</p><script>var a = '</p>' < b;</SCRIPT ><p>two</p><script>x<y") == "one\ntwo"
+    assert html_text.main_text("<body class='has-sidebar'><p>one</p><div class=sidebar>no</div></body>") == "one"
+    assert html_text.main_text("<body><article class='post no-comments'><p>one</p><div class=share>no</div></article>") == "one"
+    assert html_text.main_text("<html class=cookies><div class='with-sidebar'><main class=menu><p>one</p></main><p>no</p></div>") == "one"
+    assert html_text.main_text("<div class='with-sidebar'><article><p>one</p></article><p>no</p></div>") == "one"
+    assert html_text.main_text("<article><p>one</p></article><div class=comments><article><p>no</p></article></div>") == "one"
+    assert html_text.main_text("<nav><article><p>no</p></article></nav><p>one</p>") == "one"
+
+
 def test_style_trees_cut_what_a_host_repeats(spark):
     furniture = "<div class=top>Welcome to our site</div>{}<div class=end>All rights kept</div>"
     body = "<div class=story><p>Story {0} &amp; more &#8364;</p><p>Part  {0}\n two<br>end</div><div class='side-ad'>Buy {0}</div>"
