@@ -30,7 +30,6 @@ RADIUS = 19
 BLOCKS = (13, 13, 13, 13, 12)
 #: Bits b and b + 32 of a fingerprint, counted in two lanes of one number.
 LANES = 0x0000000100000001
-LANE_MAX = 65_535
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -185,7 +184,7 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     """item_id, n_words, held (shingles in order) and print of each distinct item text with words."""
     items = columns_of(benchmark, "item_id", "text").where("item_id IS NOT NULL")
     items = items.select("item_id", F.size(words(whole())).alias("n_words"), shingles(whole()).alias("held"))
-    items = items.where((F.size("held") > 0) & (F.size("held") <= LANE_MAX)).dropDuplicates(["item_id", "held"])
+    items = items.where(F.size("held") > 0).dropDuplicates(["item_id", "held"])
     items = items.withColumn("item_no", F.xxhash64("item_id", "held"))
     return stage(_fingerprints(items, ["item_no"]), "decontam_items")
 
@@ -197,8 +196,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hamming and similarity of the best. `docs` has doc_id and text, `benchmark` item_id
     and text. Null and empty texts hold nothing; rows without an id are left out; an item
     of under five words is one shingle, which only a text of these words alone has.
-    Repeated rows give the rows of one. Items of more than 65,535 shingles raise an
-    error. An empty table on either side gives no rows; other columns are ignored.
+    Repeated rows give the rows of one. Items may have any length. An empty table on either side gives no rows; other columns are ignored.
     """
     texts = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     items = item_shingles(benchmark)

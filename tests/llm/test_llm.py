@@ -535,6 +535,15 @@ def test_leaks_are_found_at_every_start(spark):
     assert next(r["similarity"] for r in rows if (r["doc_id"], r["item_id"]) == (0, 0)) == pytest.approx(52 / 60)
 
 
+def test_leaks_of_very_long_items(spark):
+    item = " ".join(f"w{k}" for k in range(70_000))
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    documents = spark.createDataFrame([(1, f"x y {item} z"), (2, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+    rows = decontaminate.contaminated(documents, benchmark).collect()
+    assert [(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in rows] == [(1, 1, 2, 1.0)]
+    assert rows[0]["hamming"] == 0 and rows[0]["n_windows"] > 10_000
+
+
 def test_pipeline_equals_its_steps(spark, documents, texts):
     kept = documents
     rows = {r["doc_id"]: r["text"] for r in kept.collect()}
