@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -21,11 +22,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from pitwall.llm.common import columns_of, text_rows
+from pitwall.llm.common import columns_of, giving_back, text_rows
 
-#: Distinct fragments, and words of them, that a task remembers if they are short;
+#: Bytes of distinct fragments, and of words of them, that a task remembers if they are short;
 #: characters it takes at a time.
-REMEMBERED = 500_000
+REMEMBERED = 12 << 20
 SHORT = 40
 BATCH_CHARS = 1 << 20
 #: Words of more bytes are cut further and merged through a heap.
@@ -44,6 +45,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Remembered(dict):
+    """Packed ids of short texts, emptied before they take more than REMEMBERED bytes."""
+
+    used = 0
+
+    def keep(self, new: dict[str, bytes]) -> None:
+        for key, value in new.items():
+            if len(key) > SHORT:
+                continue
+            size = sys.getsizeof(key) + sys.getsizeof(value) + 100  # its share of the table
+            if self.used + size > REMEMBERED:
+                self.clear()
+                self.used = 0
+            self[key] = value
+            self.used += size
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file: tokens, merges, special tokens and forced cuts."""
 
@@ -79,8 +97,8 @@ class Vocabulary:
         after = "".join(re.escape(chr(x[0])) for x in self.uncut if x[0] < 128)
         after += "\u0080-\U0010ffff" if any(x[0] >= 128 for x in self.uncut) else ""
         self.cut = re.compile(f"(?<![{after}])(?= )" if after else "(?= )")
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known = _Remembered()
+        self.words = _Remembered()
 
     def _hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The merges in a hash table, and the places that more than one wants."""
@@ -194,10 +212,8 @@ class Vocabulary:
         fresh = self._learn_words({w for ws in parts.values() for w in ws if w not in self.words})
         known = self.words
         out = {f: b"".join([known[w] if w in known else fresh[w] for w in ws]) for f, ws in parts.items()}
-        for store, new in ((self.words, fresh), (self.known, out)):
-            if len(store) + len(new) > REMEMBERED:
-                store.clear()
-            store.update((k, v) for k, v in new.items() if len(k) <= SHORT)
+        self.words.keep(fresh)
+        self.known.keep(out)
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -244,6 +260,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     empty table gives no rows, other columns are ignored. No text is cut short.
     """
 
+    @giving_back()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(path)
         held: list[tuple] = []

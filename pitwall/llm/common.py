@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pitwall.session import stage, staging_path
 
-__all__ = ["columns_of", "narrowed", "shuffle_partitions", "stage", "staging_path", "text_rows", "whole", "without"]
+__all__ = ["columns_of", "giving_back", "narrowed", "shuffle_partitions", "stage", "staging_path", "text_rows", "whole", "without"]
 
 
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
@@ -36,6 +37,24 @@ def text_rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]
             yield from zip(*[part.column(part.schema.get_field_index(name)).to_pylist() for name in names], strict=True)
 
 
+def giving_back(*stores: dict) -> Callable:
+    """For functions over batches: at their end the worker empties `stores` and returns Arrow's unused memory."""
+
+    def around(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+        @wraps(run)
+        def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            try:
+                yield from run(batches)
+            finally:
+                for store in stores:
+                    store.clear()
+                pa.default_memory_pool().release_unused()
+
+        return wrapped
+
+    return around
+
+
 #: Bits of the map that `narrowed` broadcasts: 4 MiB, whatever the number of keys.
 MAP_BITS = 1 << 25
 

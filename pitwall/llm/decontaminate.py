@@ -1,7 +1,7 @@
 """Benchmark passages in documents, by SimHash of item-sized windows.
 
-Everything is DataFrame operations. A shingle is five neighbouring words (all words of a
-shorter text). Where a document has a shingle of an item, windows of the item's length are
+Everything is DataFrame operations. A shingle is five neighbouring words, as many as the
+item has if it is shorter. Where a document has a shingle of an item, windows of the item's length are
 laid at every start that takes the shingle in. A running count of the shingles that any
 item has drops those windows, and no others, that cannot be similar to an item. Every
 window left gets a 64-bit SimHash, each shingle as often as it occurs, from running sums
@@ -40,16 +40,16 @@ def words(text: F.Column) -> F.Column:
     return F.filter(parts, lambda w: w != "")
 
 
-def shingles(text: F.Column) -> F.Column:
-    """Hashes of the shingles of a text, in order; none for no words.
+def shingles(text: F.Column, width: int = WORDS) -> F.Column:
+    """Hashes of the shingles of a text, in order; none for no words, one for fewer than `width`.
 
     The words are bound as the one element of an array, else they would be split anew
     for every shingle.
     """
 
     def of(w: F.Column) -> F.Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0)))
-        made = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - width, F.lit(0)))
+        made = F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(width)]))
         return F.when(F.size(w) > 0, made).otherwise(F.array().cast("array<bigint>"))
 
     return F.get(F.transform(F.array(words(text)), of), F.lit(0))
@@ -189,17 +189,37 @@ def item_shingles(benchmark: DataFrame) -> DataFrame:
     return stage(_fingerprints(items, ["item_no"]), "decontam_items")
 
 
+def _short(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """The result rows of items of under five words.
+
+    Shingles and windows are then as long as the item, so a window has one shingle, which
+    is its fingerprint as well: it is similar where it is equal.
+    """
+    found = None
+    held = items.where(F.col("n_words") < WORDS).select("item_id", "n_words", F.col("print").alias("h"))
+    for row in held.select("n_words").distinct().orderBy("n_words").collect():  # four at most
+        places = texts.select("doc_id", F.posexplode(shingles(whole(), row["n_words"])).alias("start", "h"))
+        same = places.join(held.where(F.col("n_words") == row["n_words"]), "h").select("doc_id", "item_id", "n_words", "start")
+        found = same if found is None else found.unionByName(same)
+    if found is None:
+        found = texts.where("false").select("doc_id").crossJoin(held.where("false").select("item_id", "n_words")).withColumn("start", F.lit(0))
+    return found.groupBy("doc_id", "item_id").agg(
+        F.countDistinct("start", "n_words").alias("n_windows"), F.min("start").alias("start"),
+    ).select("doc_id", "item_id", "n_windows", "start", F.lit(0).alias("hamming"), F.lit(1.0).alias("similarity"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and item found in it.
 
     doc_id, item_id, n_windows (similar windows), start (first word of the best, from 0),
     hamming and similarity of the best. `docs` has doc_id and text, `benchmark` item_id
     and text. Null and empty texts hold nothing; rows without an id are left out; an item
-    of under five words is one shingle, which only a text of these words alone has.
+    of n words, under five, has n-word shingles and is found wherever its words stand.
     Repeated rows give the rows of one. Items may have any length. An empty table on either side gives no rows; other columns are ignored.
     """
     texts = columns_of(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    items = item_shingles(benchmark)
+    every = item_shingles(benchmark)
+    short, items = _short(texts, every), every.where(F.col("n_words") >= WORDS)
     grams = stage(items.select(F.explode("held").alias("h")).distinct(), "decontam_shingles")
     places = texts.select("doc_id", _copy(), F.explode(F.array(shingles(whole()))).alias("all"))
     places = places.select("doc_id", "copy", F.size("all").alias("size"), F.posexplode("all").alias("pos", "h"))
@@ -232,6 +252,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     best = F.max_by(
         F.struct("start", "hamming", "similarity"), F.struct("similarity", -F.col("hamming"), -F.col("start"))
     ).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(F.countDistinct("start", "n_words").alias("n_windows"), best).select(
+    long = found.groupBy("doc_id", "item_id").agg(F.countDistinct("start", "n_words").alias("n_windows"), best).select(
+        "doc_id", "item_id", "n_windows", "best.start", "best.hamming", "best.similarity"
+    )
+    # Different texts of one item, short and long.
+    first = F.min_by(F.struct("start", "hamming", "similarity"), F.struct(-F.col("similarity"), "hamming", "start")).alias("best")
+    return long.unionByName(short).groupBy("doc_id", "item_id").agg(F.sum("n_windows").alias("n_windows"), first).select(
         "doc_id", "item_id", "n_windows", "best.start", "best.hamming", "best.similarity"
     )

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import columns_of, narrowed, shuffle_partitions, stage, text_rows, without
+from pitwall.llm.common import columns_of, giving_back, narrowed, shuffle_partitions, stage, text_rows, without
 from pitwall.llm.components import components
 
 WORDS = 5
@@ -54,12 +54,14 @@ def prefix_length(n: int) -> int:
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; emptied when it grows large."""
+    """64-bit hashes of words. Short ones are remembered, 65,536 of them, which is 12 MB, until the task ends."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 40:
+            if len(self) >= 1 << 16:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -92,6 +94,7 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return low - 2**64 if low >= 2**63 else low, high - 2**64 if high >= 2**63 else high
 
 
+@giving_back(_HASHES)
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text, and rows (common = hash, n = count) of shingles frequent in this task."""
     rows: list[tuple] = []
@@ -186,6 +189,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
     frequent = np.sort(np.array([r[0] for r in common.select("common").collect()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
 
+    @giving_back(_HASHES)
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingles to the slot of their hash. A common one stays with its set, marked."""
         common, seen = shared.value, set()
@@ -230,6 +234,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
+    @giving_back()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shared shingles with their frequency, to the slot of their set."""
         got = _unpack(batches, np.uint32, np.uint8)
@@ -257,6 +262,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
             tokens, times, keys, short = tokens[order], times[order], keys[order], short[order]
             yield _pack((keys % np.uint64(slots)).astype(np.int32), tokens, times, keys, short)
 
+    @giving_back()
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The shared shingles of each prefix: common ones tied here, others to their slot."""
         got = _unpack(batches, np.uint64, np.uint32)
@@ -284,6 +290,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
             tokens, keys = tokens[~here], keys[~here]
             yield _edges(keys, tokens, (_mix(tokens) % np.uint64(slots)).astype(np.int32))
 
+    @giving_back()
     def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A spanning forest of the keys that share a shingle of their prefixes."""
         ready, tokens, keys = [], [], []
@@ -440,6 +447,7 @@ def _block_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
+@giving_back(_HASHES)
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle set of each text that still has the key it was chosen by."""
     columns: tuple[list, ...] = ([], [], [], [])

@@ -24,7 +24,6 @@ from pitwall.llm import (
     simhash,
     token_counts,
 )
-from pitwall.llm.common import staging_path
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -97,8 +96,8 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = staging_path(spark, "token-cache")
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache)
+    path = public_tokenizers.path(TOKENIZER)
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), path, token_counts.shared_cache(spark, path))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitwall.llm.bpe import vocabulary
-from pitwall.llm.common import columns_of, stage, text_rows, whole
+from pitwall.llm.common import columns_of, giving_back, narrowed, stage, text_rows, whole
+from pitwall.session import staging_root
 
 LIMIT = 1024
 #: Misses that are encoded in one call.
@@ -92,6 +93,11 @@ def counter(path: str) -> _ByteLevel | _Json | _Piece:
     return _COUNTERS[path]
 
 
+def shared_cache(spark: SparkSession, path: str) -> str:
+    """The cache of a tokenizer that all runs of a cluster share: one folder for each version, beside the staged tables."""
+    return f"{staging_root(spark)}/pitwall/token-counts/{tokenizer_version(path)[:32]}"
+
+
 def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
@@ -107,7 +113,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT
     docs = docs.withColumn("content", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     rows = stage(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "count_rows")
 
-    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(cache_path)
+    spark.createDataFrame([], CACHE).coalesce(1).write.mode("ignore").parquet(cache_path)
 
     def stored() -> DataFrame:
         cache = spark.read.schema(CACHE).parquet(cache_path).where(F.col("tokenizer") == version)
@@ -116,6 +122,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT
     firsts = rows.groupBy("content").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("first"))
     misses = stage(firsts.join(stored().select("content"), "content", "left_anti"), "count_misses")
 
+    @giving_back()
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held = counter(path), []
 
@@ -135,14 +142,16 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT
         if held:
             yield flush()
 
-    chosen = docs.join(
+    # Texts whose counts are stored stay where they are.
+    chosen = narrowed(docs, misses, "content").join(
         misses.withColumnRenamed("content", "wanted"),
-        (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("first")) & (docs["content"] == F.col("wanted")),
+        (F.coalesce("doc_id", F.lit(-1)) == F.col("first")) & (F.col("content") == F.col("wanted")),
         "left_semi",
     )
     # Rows that repeat both id and text come twice.
     new = chosen.select("content", "text").mapInArrow(encode, "content binary, n_tokens long").dropDuplicates(["content"])
-    new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
+    if not misses.isEmpty():
+        new.select(F.lit(version).alias("tokenizer"), "content", "n_tokens").write.mode("append").parquet(cache_path)
     return rows.join(stored(), "content").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

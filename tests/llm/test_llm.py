@@ -19,7 +19,7 @@ from pitwall.llm import ann, bpe, decontaminate, html_text, langid, ngram_join,
 from pitwall.llm.common import narrowed, without
 from pitwall.llm.components import components
 from pitwall.llm.queries import QUERIES, TOKENIZER, digests
-from pitwall.session import staging_path
+from pitwall.session import remove_folder, staging_path
 
 SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path(TOKENIZER)
@@ -280,6 +280,43 @@ def test_languages_are_told_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) < 0.02 * len(rows)
 
 
+def test_a_second_count_encodes_nothing(spark, monkeypatch):
+    """The query's cache outlives it: its second run meets every stored row."""
+    first = sorted(map(tuple, QUERIES["op8_token_counts"](spark, SF).collect()))
+    folder = token_counts.shared_cache(spark, PATH)
+    stored = spark.read.parquet(folder).count()
+    assert stored >= spark.read.parquet(f"{SF}/documents.parquet").select("text").distinct().count()
+    spark.read.parquet(folder).selectExpr("tokenizer", "content", "n_tokens + 1000000 AS n_tokens").write.mode("append").parquet(folder)
+    again = sorted(map(tuple, QUERIES["op8_token_counts"](spark, SF).collect()))
+    assert [(i, b, n + 1_000_000, True) for i, b, n, _ in first] == again  # read, not counted anew
+    assert spark.read.parquet(folder).count() == 2 * stored
+    remove_folder(spark, folder)
+
+
+def test_stray_labels_change_no_other_language(spark, documents):
+    texts = langid.learn(documents)
+    stray = spark.createDataFrame([(10**9 + k, "Qx zyzzyva kwyjibo", "qq", None, 0) for k in range(9)], documents.schema)
+    more = langid.learn(documents.unionByName(stray))
+    assert more.keys() - texts.keys() == {"qq"} and all(more[k] == texts[k] for k in texts)
+    plain, with_stray = langid.Classifier(texts), langid.Classifier(more)
+    rows = [r["text"] for r in documents.select("text").collect()]
+    assert [plain(t) for t in rows] == [with_stray(t) for t in rows]
+    assert with_stray("qx zyzzyva kwyjibo qx zyzzyva kwyjibo zyzzyva")[0] == "qq"
+
+
+def test_dictionaries_are_compared_at_one_size():
+    lengths = [langid.DICTIONARY * 3, langid.DICTIONARY - 1000, langid.DICTIONARY // 2 + 1, 500]
+    found = langid.Classifier({f"l{i}": bytes(97 + (i + k) % 26 for k in range(n)) for i, n in enumerate(lengths)})
+    assert {len(b) for books in found.books.values() for b in books} == {langid.DICTIONARY // 2 + 1}
+    assert found.rare == ["l3"] and found.books.keys() == {"l0", "l1", "l2"}
+
+
+def test_numbers_that_are_no_letters_have_no_language(documents):
+    classify = langid.Classifier(langid.learn(documents))
+    assert [classify(t) for t in ("½", "²³ 12", "_", "٣", "!?")] == [("und", 0.0)] * 5
+    assert classify("ª")[0] != "und"
+
+
 def test_languages_of_odd_rows(odd, none, documents):
     books = langid.learn(documents)
     rows = {r["doc_id"]: r for r in langid.identify(odd, books).collect()}
@@ -481,7 +518,8 @@ def test_leaks_of_odd_rows(spark, odd, none):
         spark.createDataFrame([(20, "x y " + "a b " * 6 + "z"), (21, "x one y")], "doc_id long, text string")
     )
     rows = decontaminate.contaminated(more, benchmark).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(6, 1), (4, 2), (5, 2), (20, 5)}
+    # Document 21 holds the one word of item 2, document 6 as well.
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(6, 1), (4, 2), (5, 2), (6, 2), (20, 5), (21, 2)}
     assert decontaminate.contaminated(none, benchmark).count() == 0
     assert decontaminate.contaminated(odd, benchmark.limit(0)).count() == 0
 
@@ -535,6 +573,23 @@ def test_leaks_are_found_at_every_start(spark):
     assert next(r["similarity"] for r in rows if (r["doc_id"], r["item_id"]) == (0, 0)) == pytest.approx(52 / 60)
 
 
+def test_leaks_of_short_items_are_their_words_anywhere(spark):
+    pick = random.Random(8)
+    items = [(k, " ".join(pick.choices("abcd", k=1 + k % 4))) for k in range(24)] + [(0, "a b c d a b c d")]
+    documents = [(d, " ".join(pick.choices("abcdefgh", k=pick.randrange(12)))) for d in range(120)]
+    got = decontaminate.contaminated(
+        spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).where("item_id > 0")
+    true = {}
+    for d, text in documents:
+        for i, t in items[1:-1]:
+            n = len(t.split())
+            at = [k for k in range(len(text.split()) - n + 1) if text.split()[k : k + n] == t.split()]
+            if at:
+                true[d, i] = (len(at), at[0], 0, 1.0)
+    assert {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in got.collect()} == true
+
+
 def test_leaks_of_very_long_items(spark):
     item = " ".join(f"w{k}" for k in range(70_000))
     benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
