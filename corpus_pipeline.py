@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pitwall.llm import bpe, decontaminate, langid, ngram_join, pii
 from pitwall.llm.common import stage, without
 from pitwall.llm.queries import TOKENIZER, digests
+from pitwall.session import remove_folder, staged_for_job, staging_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,18 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written as Parquet and read again by the next.
+
+    What a stage stages for itself goes when its result is written, and the table before
+    goes with it; a stage that fails leaves the last finished table.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline_{name}")
+        path = staging_path(spark, f"pipeline_{name}")
+        with staged_for_job(spark):
+            out = function(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs
