@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 
 from pitwall.llm.common import columns_of, giving_back, text_rows
 
-#: Bytes of distinct fragments, and of words of them, that a task remembers if they are short;
+#: Bytes of distinct fragments, and of words of them, that a task remembers if they are short, until it ends;
 #: characters it takes at a time.
-REMEMBERED = 12 << 20
+REMEMBERED = 64 << 20
 SHORT = 40
 BATCH_CHARS = 1 << 20
 #: Words of more bytes are cut further and merged through a heap.
@@ -57,10 +57,13 @@ class _Remembered(dict):
             size = sys.getsizeof(key) + sys.getsizeof(value) + 100  # its share of the table
             if self.used + size > REMEMBERED:
                 self.clear()
-                self.used = 0
             self[key] = value
             self.used += size
 
+    def clear(self) -> None:
+        super().clear()
+        self.used = 0
+
 
 class Vocabulary:
     """A byte-level BPE vocabulary file: tokens, merges, special tokens and forced cuts."""
@@ -212,8 +215,8 @@ class Vocabulary:
         fresh = self._learn_words({w for ws in parts.values() for w in ws if w not in self.words})
         known = self.words
         out = {f: b"".join([known[w] if w in known else fresh[w] for w in ws]) for f, ws in parts.items()}
-        self.words.keep(fresh)
         self.known.keep(out)
+        self.words.keep({w: ids for w, ids in fresh.items() if w not in out})
         return out
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -234,6 +237,11 @@ class Vocabulary:
             for fs, ps in zip(plain, found, strict=True)
         ]
 
+    def forget(self) -> None:
+        """Give back what is remembered."""
+        self.known.clear()
+        self.words.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
@@ -283,5 +291,6 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+        own.forget()
 
     return columns_of(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")

@@ -42,6 +42,9 @@ class _ByteLevel:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.vocabulary.encode_batch(texts)]
 
+    def forget(self) -> None:
+        self.vocabulary.forget()
+
 
 class _Json:
     """Other files of the tokenizers library."""
@@ -56,6 +59,9 @@ class _Json:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x.ids) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
 
 class _Piece:
     """Counts by the sentencepiece library."""
@@ -68,6 +74,9 @@ class _Piece:
     def counts(self, texts: list[str]) -> list[int]:
         return [len(x) for x in self.library.encode(texts, num_threads=1)]
 
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
 
 def _is_byte_level(path: str) -> bool:
     """Whether the file holds nothing that `bpe` does not do."""
@@ -141,6 +150,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str, limit: int = LIMIT
                 held, size = [], 0
         if held:
             yield flush()
+        own.forget()
 
     # Texts whose counts are stored stay where they are.
     chosen = narrowed(docs, misses, "content").join(
