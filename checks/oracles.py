@@ -344,3 +344,70 @@ SQL["incremental_null_keys"] = L.query(
         AND o.Year < 2000)
     GROUP BY Year, RoundNumber, Mode""",
 )
+
+# --- raw files of several layouts
+_GOOD = "Position IS NOT NULL AND Points <> 50"
+SQL["consolidate_published"] = L.query(
+    L.RESULTS,
+    select=f"SELECT * REPLACE (CASE WHEN Year > 1995 THEN TeamColor END AS TeamColor) FROM results WHERE {_GOOD}",
+)
+SQL["bronze_rejects"] = L.query(
+    L.RESULTS,
+    """
+told AS (
+  SELECT CASE WHEN Position IS NOT NULL THEN Year END AS Year,
+         CASE WHEN Position IS NULL THEN 'Year is missing' WHEN Points = 50 THEN 'RoundNumber is missing' ELSE 'kept' END AS reason
+  FROM results
+)""",
+    select="""
+    SELECT Year, reason, COUNT(*) AS rows FROM told GROUP BY ALL
+    UNION ALL SELECT NULL, 'counted rows', COUNT(*) FROM told
+    UNION ALL SELECT NULL, 'counted rejected', COUNT(*) FROM told WHERE reason <> 'kept'""",
+)
+
+# --- any date, and the stored statements
+def _on_days(n: int, days: str) -> str:
+    """CTEs for the statistics on the dates (d) of `days`, whose season is their year; ends in found."""
+    items = ", ".join(f"{pick(n)} AS {name}" for name, pick in L.STATISTICS.items())
+    return f"""
+days AS ({days}),
+spine AS (SELECT d AS dt_ref, year(d) AS ref_year FROM days),
+begun AS (
+  SELECT Year, RoundNumber, MIN(CAST(Date AS DATE)) AS since,
+         coalesce(Year, -1000000) * 1000000 + coalesce(RoundNumber, -1) AS age
+  FROM results GROUP BY Year, RoundNumber
+),
+standing AS (
+  SELECT dt_ref, Year, RoundNumber, row_number() OVER (PARTITION BY dt_ref ORDER BY age DESC) AS place
+  FROM spine, begun WHERE since <= dt_ref
+),
+latest AS (
+  SELECT dt_ref, ref_year, DriverId, MAX(Year) AS season
+  FROM spine, results WHERE CAST(Date AS DATE) <= dt_ref GROUP BY ALL
+),
+placed AS (
+  SELECT t.dt_ref, t.place, r.*
+  FROM results r
+  JOIN standing t ON r.Year = t.Year AND r.RoundNumber = t.RoundNumber AND CAST(r.Date AS DATE) <= t.dt_ref
+  JOIN latest l ON l.dt_ref = t.dt_ref AND l.DriverId = r.DriverId AND l.season >= l.ref_year - 2
+  WHERE t.place <= {n}
+),
+found AS (SELECT dt_ref, DriverId, {items} FROM placed GROUP BY dt_ref, DriverId)"""
+
+
+SQL["asof_any_date"] = L.query(
+    L.RESULTS,
+    "probes AS (SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS VARCHAR) AS DriverId, l_shipdate + to_hours(l_linenumber) AS left_at FROM lineitem)",
+    _on_days(5, "SELECT DISTINCT CAST(left_at AS DATE) AS d FROM probes"),
+    select=f"""
+    SELECT p.*, {", ".join(f"f.{name}" for name in L.STATISTICS)}
+    FROM probes p LEFT JOIN found f ON f.DriverId = p.DriverId AND f.dt_ref = CAST(p.left_at AS DATE)""",
+)
+SQL["statistic_by_sql"] = L.query(
+    L.RESULTS, L.KNOWN, L.statistic(10), select="SELECT * FROM stat_10 WHERE year(dt_ref) <= 2000"
+)
+SQL["statistic_on_a_day"] = L.query(
+    L.RESULTS, _on_days(20, "SELECT DATE '1999-05-17' AS d"), select="SELECT * EXCLUDE (dt_ref) FROM found"
+)
+SQL["champions_by_sql"] = L.query(L.RESULTS, L.CHAMPIONS, select="SELECT * FROM champions WHERE Year <= 2000")
+SQL["tb_abt_by_sql"] = SQL["tb_abt"]

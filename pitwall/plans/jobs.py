@@ -11,14 +11,23 @@ from pyspark.sql import functions as F
 from pitwall import schema
 from pitwall.operators import asof, champions, features, forest, ranking, serving
 from pitwall.session import pin_utc, stage, staged_for_job
-from pitwall.sources import layers, publish, raw
+from pitwall.sources import layers, publish, published
 
 
-def run_bronze(spark: SparkSession, raw_folder: str, bronze: str) -> None:
-    """All raw session files as one clean results table, one folder per season."""
+def run_bronze(spark: SparkSession, raw_folder: str, bronze: str) -> dict[str, int]:
+    """All raw session files as one clean results table, one folder per season.
+
+    Rows without a season or round, or with one that fits no integer, go to the table
+    `rejects` with their reason. Returns how many rows were read and rejected, which is
+    counted in the same pass.
+    """
     pin_utc(spark)
-    rows = raw.consolidate(spark, raw_folder)
-    layers.write_table(rows.hint("rebalance", "Year"), bronze, "results", partition_by=["Year"])
+    with staged_for_job(spark):
+        rows, rejected, counts = published.consolidate(spark, raw_folder)
+        layers.write_table(rows.hint("rebalance", "Year"), bronze, "results", partition_by=["Year"])
+        found = counts.get
+        layers.write_table(rejected if found["rejected"] else rejected.limit(0), bronze, "rejects")
+    return found
 
 
 def bronze_results(spark: SparkSession, bronze: str) -> DataFrame:

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from pitwall import schema
 from pitwall.functions import scalars
-from pitwall.operators import asof, calendar, coverage, features, forest, ranking, serving
+from pitwall.operators import asof, calendar, coverage, features, forest, intervals, ranking, serving
 from pitwall.operators import champions as season
-from pitwall.plans import jobs
+from pitwall.plans import functions, jobs
 from pitwall.session import stage, staging_path
-from pitwall.sources import layers, raw
-from pitwall.sources.fixture import results, table
+from pitwall.sources import layers, published, raw
+from pitwall.sources.fixture import publish_files, results, table
 from pitwall.streaming.ingest import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +143,48 @@ def tb_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abt(spark, sf_dir)
 
 
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(intervals.state_intervals(results(spark, sf_dir)), "state_intervals")
+
+
+@query
+def asof_any_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shipment with statistics of its supplier as of the day and hour it left: dates between sessions, many of them twice."""
+    hours = F.make_interval(hours=F.col("l_linenumber"))
+    probes = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_suppkey").cast("string").alias("DriverId"), (F.col("l_shipdate") + hours).alias("left_at")
+    )
+    return intervals.as_of(probes, _intervals(spark, sf_dir), 5, at="left_at")
+
+
+@query
+def statistic_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table function, with its parameters bound by Spark."""
+    functions.publish_statistics(spark, results(spark, sf_dir), _intervals(spark, sf_dir))
+    return spark.sql("SELECT * FROM driver_statistic(:n, :year_stop)", args={"n": 10, "year_stop": 2000})
+
+
+@query
+def statistic_on_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    functions.publish_statistics(spark, results(spark, sf_dir), _intervals(spark, sf_dir))
+    return spark.sql("SELECT * FROM driver_statistic_on(20, DATE '1999-05-17')")
+
+
+@query
+def champions_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layers.publish_view(results(spark, sf_dir), "results")
+    return layers.run_query(spark, "champions", {"year_stop": 2000})
+
+
+@query
+def tb_abt_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored label join over published layer tables."""
+    rows = results(spark, sf_dir)
+    layers.publish_view(stage(season.champions(rows), "champions"), "champions")
+    layers.publish_view(stage(features.driver_all_statistic(rows), "driver_all_statistic"), "driver_all_statistic")
+    return layers.run_query(spark, "tb_abt")
+
+
 # --- training sets ------------------------------------------------------------------
 
 
@@ -324,6 +366,29 @@ def consolidate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.consolidate(spark, folder)
 
 
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    folder = staging_path(spark, "published")
+    publish_files(results(spark, sf_dir), folder)
+    return folder
+
+
+@query
+def consolidate_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of several layouts, with 64-bit and double keys, two units of time and missing columns, as one clean table."""
+    return published.consolidate(spark, _published(spark, sf_dir))[0]
+
+
+@query
+def bronze_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the bronze job keeps and rejects of such files, season by season, and its own counts of the same pass."""
+    bronze = staging_path(spark, "bronze")
+    counts = jobs.run_bronze(spark, _published(spark, sf_dir), bronze)
+    kept = jobs.bronze_results(spark, bronze).select("Year", F.lit("kept").alias("reason"))
+    rejected = layers.read_table(spark, bronze, "rejects").select("Year", "reason")
+    observed = spark.createDataFrame([(None, f"counted {k}", v) for k, v in counts.items()], "Year int, reason string, rows long")
+    return kept.unionByName(rejected).groupBy("Year", "reason").agg(F.count(F.lit(1)).alias("rows")).unionByName(observed)
+
+
 @query
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs of the file stream: the second takes only the seasons added since."""

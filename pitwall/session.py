@@ -33,6 +33,19 @@ def pin_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def observing_session(spark: SparkSession) -> SparkSession:
+    """A session beside `spark`, with its settings, for plans that are observed.
+
+    A session that has observed anything can't be shipped to tasks any more, which the
+    engine does with the session of a fitted forest.
+    """
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    return own
+
+
 def staging_root(spark: SparkSession) -> str:
     """The shared folder for staged tables: `spark.checkpoint.dir` where the cluster sets it.
 

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +60,43 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(*schema.RESULTS.fieldNames())
     )
+
+
+def publish_files(rows: DataFrame, folder: str) -> int:
+    """Write results as other tools would, a file for each session, season by season in another way: 64-bit keys, doubles
+    with gaps, timestamps of nanoseconds, no column TeamColor or one without type. Returns the number of files.
+
+    Rows without a position lose their season (in seasons of double keys the round becomes 0.5 too), rows of 50 points
+    their round.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            files = 0
+            for (year, number, mode), rows in batch.groupby(["Year", "RoundNumber", "Mode"]):
+                table = pa.Table.from_pandas(rows, preserve_index=False)
+                keys = pa.float64() if year % 3 == 0 else pa.int64()
+                unit = "ns" if mode == "Sprint" else "us"
+                columns = {name: table[name] for name in table.column_names if not name.startswith("lost_")}
+                for name in ("Year", "RoundNumber"):
+                    lost = rows[f"lost_{name}"].to_numpy(bool)
+                    columns[name] = pa.array(rows[name].to_numpy(), mask=lost).cast(keys)
+                if year % 3 == 0:
+                    columns["RoundNumber"] = pa.compute.if_else(rows["lost_Year"].to_numpy(bool), 0.5, columns["RoundNumber"])
+                columns["Date"] = table["Date"].cast(pa.timestamp("us")).cast(pa.timestamp(unit))
+                if year < 1995:
+                    del columns["TeamColor"]
+                elif year == 1995:
+                    columns["TeamColor"] = pa.nulls(len(rows))
+                system, path = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+                name = f"{path}/{year}_{number:02}_{mode[0]}_{uuid.uuid4().hex[:8]}.parquet"
+                with system.open_output_stream(name) as out:
+                    pq.write_table(pa.table(columns), out)
+                files += 1
+            yield pd.DataFrame({"files": [files]})
+
+    lost = [F.col("Position").isNull().alias("lost_Year"), (F.col("Points") == 50).alias("lost_RoundNumber")]
+    spread = rows.select("*", *lost).repartition("Year", "RoundNumber", "Mode").sortWithinPartitions("Year", "RoundNumber", "Mode")
+    path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
+    return spread.mapInPandas(write, "files long").agg(F.sum("files")).first()[0]
