@@ -29,7 +29,7 @@ PAGES = 5
 DEPTH = 24
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.DOTALL
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: Elements whose inside is no markup, by the closing tag that ends it.
@@ -37,12 +37,15 @@ _ENDS = {
     name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE)
     for name in ("script", "style", "iframe", "noscript", "title", "textarea")
 }
-_WORD = re.compile(r"[a-z0-9]+")
+
+#: The last part of a class or id, which says what it is: side-ad is an ad, ad-free is none.
+_LAST = re.compile(r"[^-_]*$")
 
 # Element names of HTML by what they do, and words that name furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "script style noscript template iframe object svg math canvas audio video head title select option textarea button".split()
+    "script style noscript template iframe object svg math canvas audio video head title select option optgroup datalist textarea "
+    "button".split()
 )
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
@@ -52,6 +55,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split()
 )
+#: What a head may hold; anything else ends it, with or without its end tag.
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+OPTIONS = frozenset("option optgroup".split())
 BY_NAME, BY_WORDS = 1, 2
 CLOSES_P = BLOCK - {"body", "html"}
 FURNITURE_WORDS = frozenset(
@@ -112,7 +118,11 @@ def blocks_of(source: str) -> list[Block]:
                 to = after(name, to)
             elif closing and name == skip:
                 skip, at = "", to
-            continue
+            ends = skip == "head" and not closing and name and name not in IN_HEAD
+            ends = ends or (skip in OPTIONS and name and name not in OPTIONS)
+            if not ends:
+                continue
+            skip, at = "", match.start()  # elements whose end tag may be left out
         text(source[at : match.start()])
         at = to
         if raw:
@@ -151,12 +161,12 @@ def blocks_of(source: str) -> list[Block]:
         if not furniture:
             if name in FURNITURE or (name == "header" and not main):
                 furniture = BY_NAME
-            elif name not in HOLDERS and any(w in FURNITURE_WORDS for n in names for w in _WORD.findall(n)):
+            elif name not in HOLDERS and any(_LAST.search(w)[0] in FURNITURE_WORDS for n in names for w in n.split()):
                 furniture = BY_WORDS
         elif name in FURNITURE:
             furniture = BY_NAME
         main = main or name in MAIN
-        deeper = path if path.count(">") >= DEPTH else f"{path}>{name}" + "".join("." + n for n in sorted(names))
+        deeper = path if path.count(">") >= DEPTH else f"{path}>{name}" + _style(name, names)
         if not match[3].rstrip().endswith("/") or name in BLOCK:
             stack.append((name, deeper, furniture, main, inside))
     if not skip:
@@ -172,12 +182,22 @@ def blocks_of(source: str) -> list[Block]:
     return kept
 
 
+def _style(name: str, names: list[str]) -> str:
+    """The classes, ids and roles of an element that its host's pages may share: none of a page as a whole, and none with a number."""
+    if name in ("html", "body"):
+        return ""
+    return "".join("." + n for n in sorted(names) if not any(c.isdigit() for c in n))
+
+
 def main_text(source: str, low: frozenset[str] = frozenset()) -> str:
-    """The blocks of the main part, or, on a page without one, those outside the branches `low`."""
+    """The blocks outside the branches `low`, in the main part alone where the page marks one.
+
+    Where that leaves nothing, the branches stay.
+    """
     blocks = blocks_of(source)
     if any(b.main for b in blocks):
         blocks = [b for b in blocks if b.main]
-    elif low:
+    if low:
         blocks = [b for b in blocks if not any(p in low for p in _branches(b.path))] or blocks
     return "\n".join(b.text for b in blocks)
 
@@ -208,8 +228,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for host, source in text_rows(batches, "host", "html"):
         blocks = blocks_of(source or "")
-        if not blocks or any(b.main for b in blocks):
-            continue  # what is main is marked: no statistics are wanted
+        if not blocks:
+            continue
         page = digest(source)
         below: dict[str, list[str]] = {}
         for block in blocks:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -482,6 +483,65 @@ def test_secrets_are_found_however_rare_they_are(spark, monkeypatch):
     assert {r["doc_id"] for r in secret_scan.scan(df, labels).where("is_secret").collect()} == {1000, 1002}
 
 
+def test_elements_without_end_tags_and_class_names_as_a_whole():
+    cases = {
+        "<html><head><title>T</title><body><article><p>one</p></article>": "one",
+        "<head><meta charset=x><script>a</script><div><p>one</p></div>": "one",
+        "<body><datalist><option>a<option>b</datalist><p>one</p><select><option>c</select><p>two</p></body>": "one\ntwo",
+        "<body><option>a<p>one</p></body>": "one",
+        "<article><div class='share-price'>4</div><p class=comment-free>b</p><div class='x share'>c</div></article>": "4\nb",
+        "<p title=it's>one</p><p title='a>b'>two</p><p title=\"it's >\">three</p>": "one\ntwo\nthree",
+        "<p " + 'a="b" ' * 5000 + "unclosed": "",
+    }
+    for page, text in cases.items():
+        assert html_text.main_text(page) == text
+    deep = "<div>" * 20_000 + "<p>deep</p>" + "</div>" * 20_000
+    assert html_text.main_text(deep) == "deep"
+    assert html_text.main_text("<p>" + "long " * 400_000 + "</p>") == ("long " * 400_000).strip()
+
+
+def plain_importance(pages):
+    """host, branch -> (pages, importance), by the definition, over distinct pages."""
+    out = {}
+    below = defaultdict(lambda: defaultdict(list))
+    for host, page in dict.fromkeys(pages):
+        for block in html_text.blocks_of(page):
+            for branch in html_text._branches(block.path):
+                below[host, branch][page].append((block.path, block.text))
+    for key, held in below.items():
+        m = len(held)
+        if m < 2:
+            continue
+        texts = Counter(t for blocks in held.values() for t in {t for _, t in blocks})
+        looks = Counter(tuple(p for p, _ in blocks) for blocks in held.values())
+        content = 1 - sum(math.log(c) / math.log(m) for c in texts.values()) / len(texts)
+        look = -sum(c / m * math.log(c / m) / math.log(m) for c in looks.values())
+        out[key] = (m, max(content, look))
+    return out
+
+
+def test_the_tree_of_all_pages_cuts_what_a_host_repeats_inside_main_parts(spark):
+    pick = random.Random(4)
+    pages = []
+    for i in range(40):
+        host = f"h{i % 3}.example"
+        paragraphs = "".join(f"<p>{pick.random()} text</p>" for _ in range(1 + i % 4))
+        box = "<div class=pitch><p>Buy now</p></div>" if i % 5 else ""
+        body = f"<article><h1>{i}</h1>{paragraphs}{box}<div class='by-{i}'>By {i}</div></article>"
+        pages.append((f"http://{host}/{i}", f"<body class='postid-{i}'>{body if i % 4 else body.replace('article', 'div')}</body>"))
+    pages += pages[:5]
+    df = spark.createDataFrame([(k, u, h, "h", "p") for k, (u, h) in enumerate(pages)], "page_id long, url string, html string, host string, pages string")
+    trees = html_text.style_trees(df.select(html_text.host_of(F.col("url")).alias("host"), "html")).collect()
+    true = plain_importance([(u.split("/")[2], h) for u, h in pages])
+    got = {(r["host"], r["branch"]): (r["pages"], r["importance"]) for r in trees}
+    assert got.keys() == true.keys()
+    assert all(got[k][0] == true[k][0] and got[k][1] == pytest.approx(true[k][1]) for k in true)
+    texts = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    for k, (_, page) in enumerate(pages):
+        assert "Buy now" not in texts[k]
+        assert all(x in texts[k] for x in re.findall(r"<p>([0-9.e-]+ text)</p>", page)) and f"By {k % 40}" in texts[k]
+
+
 def leaks(documents, benchmark):
     items = {i: grams(words(t)) for i, t in benchmark}
     lengths = {i: len(words(t)) for i, t in benchmark}
