@@ -247,15 +247,17 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def style_trees(pages: DataFrame) -> DataFrame:
     """host, branch, pages, importance of the merged tree of every host, from pages (host, html)."""
     nodes = stage(pages.mapInArrow(_nodes, "host string, page long, branch string, kind int, value long").distinct(), "html_nodes")
-    sizes = nodes.groupBy("host", "branch").agg(F.countDistinct("page").alias("pages"))
-    # A value on c of m pages: content that repeats has the entropy log c / log m, presentations have shares.
-    values = nodes.groupBy("host", "branch", "kind", "value").agg(F.count(F.lit(1)).alias("c")).join(sizes, ["host", "branch"])
-    m = F.log(F.col("pages").cast("double"))
-    share = F.col("c") / F.col("pages")
-    content = 1 - F.avg(F.when(F.col("kind") == 0, F.log(F.col("c").cast("double")) / m))
-    look = F.sum(F.when(F.col("kind") == 1, -share * F.log(share) / m))
-    trees = values.where("pages > 1").groupBy("host", "branch", "pages").agg(content.alias("content"), look.alias("look"))
-    return trees.select("host", "branch", "pages", F.greatest("content", "look").alias("importance"))
+    # A value on c of m pages: content that repeats has the entropy log c / log m, presentations have shares c / m.
+    values = nodes.groupBy("host", "branch", "kind", "value").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    text, look = F.col("kind") == 0, F.col("kind") == 1
+    sums = values.groupBy("host", "branch").agg(
+        F.sum(F.when(look, F.col("c"))).alias("m"),  # a page has one presentation of a branch
+        F.avg(F.when(text, F.log("c"))).alias("repeats"),
+        F.sum(F.when(look, F.col("c") * F.log("c"))).alias("alike"),
+    ).where("m > 1")
+    content = 1 - F.col("repeats") / F.log("m")
+    looks = 1 - F.col("alike") / (F.col("m") * F.log("m"))
+    return sums.select("host", "branch", F.col("m").cast("long").alias("pages"), F.greatest(content, looks).alias("importance"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
