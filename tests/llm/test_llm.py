@@ -281,19 +281,29 @@ def test_languages_are_told_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows) and sum(r["rejected"] for r in rows) < 0.02 * len(rows)
 
 
-def test_a_second_count_encodes_nothing(spark, monkeypatch):
-    """The query's cache outlives it: its second run meets every stored row."""
-    first = sorted(map(tuple, QUERIES["op8_token_counts"](spark, SF).collect()))
+def test_a_second_count_encodes_nothing(spark, documents):
+    """The shared cache outlives a run: the next one meets every stored row."""
     folder = token_counts.shared_cache(spark, PATH)
+    first = sorted(map(tuple, token_counts.token_counts(documents, PATH, folder).collect()))
     stored = spark.read.parquet(folder).count()
-    assert stored >= spark.read.parquet(f"{SF}/documents.parquet").select("text").distinct().count()
+    assert stored == documents.select(F.coalesce("text", F.lit(""))).distinct().count()
     spark.read.parquet(folder).selectExpr("tokenizer", "content", "n_tokens + 1000000 AS n_tokens").write.mode("append").parquet(folder)
-    again = sorted(map(tuple, QUERIES["op8_token_counts"](spark, SF).collect()))
+    again = sorted(map(tuple, token_counts.token_counts(documents, PATH, folder).collect()))
     assert [(i, b, n + 1_000_000, True) for i, b, n, _ in first] == again  # read, not counted anew
     assert spark.read.parquet(folder).count() == 2 * stored
     remove_folder(spark, folder)
 
 
+def test_the_query_meets_stored_rows(spark, documents, texts, monkeypatch):
+    """Of its two runs the second encodes only what the first has not stored."""
+    seen, real = [], token_counts.narrowed
+    monkeypatch.setattr(token_counts, "narrowed", lambda df, keys, name: seen.append(keys.count()) or real(df, keys, name))
+    found = {r["doc_id"]: r["n_tokens"] for r in QUERIES["op8_token_counts"](spark, SF).collect()}
+    assert len(seen) == 2 and min(seen) > 0.2 * len(texts) and sum(seen) == len({t or "" for t in texts.values()})
+    library = Tokenizer.from_file(PATH)
+    assert found == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
+
+
 def test_stray_labels_change_no_other_language(spark, documents):
     texts = langid.learn(documents)
     stray = spark.createDataFrame([(10**9 + k, "Qx zyzzyva kwyjibo", "qq", None, 0) for k in range(9)], documents.schema)
