@@ -13,7 +13,7 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from pitwall.plans.registry import QUERIES  # noqa: E402
+from pitwall.plans.registry import QUERIES, stored_abt  # noqa: E402
 from pitwall.session import spark_session  # noqa: E402
 
 HEADLINE = [
@@ -35,9 +35,14 @@ HEADLINE = [
     "incremental_new_sessions",
     "fit_forest",
     "ingest_stream",
+    "consolidate_published",
+    "asof_any_date",
+    "statistic_by_sql",
 ]
 #: Run once before the clock starts, so that no timed query pays for the start of the session.
 WARM_UP = "season_points"
+#: The first query that reads the stored labelled table.
+STORED_FIRST = "training_matrix"
 
 
 def main() -> None:
@@ -57,6 +62,11 @@ def main() -> None:
     QUERIES[WARM_UP](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in HEADLINE:
+        if name == STORED_FIRST:
+            # What the queries from here on read, so that none of them pays for it.
+            start = time.perf_counter()
+            stored_abt(spark, sf_dir)
+            seconds["store_abt"] = round(time.perf_counter() - start, 3)
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

@@ -42,7 +42,7 @@ def _abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str], DataFrame] = {}
 
 
-def _stored_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled table as later jobs find it: written once for a session and folder, read by every query."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED:
@@ -52,7 +52,7 @@ def _stored_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole labelled table with a fixed formula in place of the model, so SQL can check it."""
-    abt = serving.add_row_id(_stored_abt(spark, sf_dir)).withColumn(
+    abt = serving.add_row_id(stored_abt(spark, sf_dir)).withColumn(
         "prob_win", F.col("total_points_5") / (1.0 + F.col("total_points_10"))
     )
     return serving.scored_with_team(abt, stage(serving.entity_dimension(results(spark, sf_dir)), "entities"))
@@ -190,28 +190,28 @@ def tb_abt_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def season_tail_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.season_tail_sampling(_stored_abt(spark, sf_dir))
+    return features.season_tail_sampling(stored_abt(spark, sf_dir))
 
 
 @query
 def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT)
+    return features.temporal_split(stored_abt(spark, sf_dir), **SPLIT)
 
 
 @query
 def split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _stored_abt(spark, sf_dir)
+    abt = stored_abt(spark, sf_dir)
     return features.split_sizes(abt, features.temporal_split(abt, **SPLIT))
 
 
 @query
 def training_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.training_matrix(features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT))
+    return features.training_matrix(features.temporal_split(stored_abt(spark, sf_dir), **SPLIT))
 
 
 @query
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = features.temporal_split(_stored_abt(spark, sf_dir), **SPLIT)
+    split = features.temporal_split(stored_abt(spark, sf_dir), **SPLIT)
     train = split.where("split = 'train'")
     return features.null_profile(train.select(*[c for c in train.columns if c not in (*schema.FEATURE_KEY, "split")]))
 
@@ -245,7 +245,7 @@ def roc_curve_all_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
+    abt = stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
     scored = features.temporal_split(abt, **SPLIT)
     auc = ranking.roc_auc(scored, "total_points_5", schema.LABEL, ["split"])
     return auc.select("split", F.round("auc", 9).alias("auc"))
@@ -253,7 +253,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def roc_curve_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    abt = _stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
+    abt = stored_abt(spark, sf_dir).select(*schema.FEATURE_KEY, schema.LABEL, "total_points_5")
     curve = ranking.roc_curve(features.temporal_split(abt, **SPLIT), "total_points_5", schema.LABEL, ["split"])
     return curve.withColumn("threshold", F.nullif("threshold", F.lit(float("inf"))))
 
@@ -262,7 +262,7 @@ def roc_curve_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stump(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PipelineModel]:
-    abt = _stored_abt(spark, sf_dir)
+    abt = stored_abt(spark, sf_dir)
     split = features.temporal_split(abt.select(*schema.FEATURE_KEY, schema.LABEL, *STUMP), **SPLIT)
     return abt, forest.fit(split.where("split = 'train'"), STUMP, **STUMP_SETTINGS)
 
@@ -294,7 +294,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fit_forest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the curve of each split for the published forest, fitted on the training split."""
-    abt = _stored_abt(spark, sf_dir)
+    abt = stored_abt(spark, sf_dir)
     split = features.temporal_split(abt, **SPLIT)
     return _areas(forest.fit(split.where("split = 'train'"), features.feature_columns(abt)), split)
 
