@@ -334,6 +334,12 @@ SQL["enrich_unlisted_sessions"] = L.query(
       ON RoundNumber = n_nationkey""",
 )
 SQL["ingest_after_reload"] = SQL["backfill_years"]
+SQL["ingest_ledger"] = L.query(
+    L.RESULTS,
+    select="""
+    SELECT Year, RoundNumber, Mode, COUNT(*) AS rows, CASE WHEN Year < 1996 THEN 1 ELSE 0 END AS batch
+    FROM results GROUP BY Year, RoundNumber, Mode""",
+)
 SQL["incremental_null_keys"] = L.query(
     L.RESULTS,
     "bare AS (SELECT * REPLACE (nullif(Mode, 'Sprint') AS Mode) FROM results)",

@@ -17,6 +17,7 @@ from pitwall.session import stage, staging_path
 from pitwall.sources import layers, published, raw
 from pitwall.sources.fixture import publish_files, results, table
 from pitwall.streaming.ingest import ingest
+from pitwall.streaming.ledger import read_ledger, session_digests, unchanged_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,6 +433,22 @@ def ingest_after_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy("Year", "Status").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query
+def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load, ingest, reload of past seasons of which the older half has changed, ingest: the ledger beside what bronze
+    holds. Reloaded sessions with the same rows are still those of batch 0."""
+    folder, bronze, checkpoint, ledger = (staging_path(spark, n) for n in ("raw", "bronze", "stream", "ledger"))
+    rows = results(spark, sf_dir)
+    raw.land_sessions(rows, folder)
+    ingest(spark, folder, bronze, checkpoint, ledger=ledger)
+    late = rows.withColumn("Status", F.when(F.col("Year") < 1996, "late").otherwise(F.col("Status")))
+    raw.load_sessions(late, folder, reload_data=True, current_year=2000)
+    ingest(spark, folder, bronze, checkpoint, ledger=ledger)
+    held = session_digests(spark.read.schema(schema.RESULTS).parquet(bronze).select(*schema.RESULTS.fieldNames()))
+    known = read_ledger(spark, ledger)
+    return unchanged_sessions(held, known).join(known, [*schema.SESSION_KEY, "rows"]).select(*schema.SESSION_KEY, "rows", "batch")
+
+
 @query
 def incremental_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New sessions where sprints have no mode: a stored session without a mode is not new."""

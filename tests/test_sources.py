@@ -11,7 +11,9 @@ from pitwall import schema
 from pitwall.functions import scalars
 from pitwall.session import stage
 from pitwall.sources import layers, publish, raw
-from pitwall.streaming.ingest import ingest
+from pitwall.streaming import ingest as ingest_module
+from pitwall.streaming import ledger
+from pitwall.streaming.ingest import ingest, session_rows
 
 ROWS = [
     ("a", "2019-03-01", 1, "Race", 1.0, 1.0, 25.0, "Finished"),
@@ -72,6 +74,61 @@ def test_stream_takes_each_file_once(spark, make_results, tmp_path):
     assert counts == [2, 2, 5]
 
 
+def test_a_batch_reads_the_folders_of_its_own_sessions(spark, make_results, tmp_path):
+    folder = str(tmp_path / "raw")
+    raw.land_sessions(make_results(ROWS).withColumn("Mode", F.nullif("Mode", F.lit("Sprint"))), folder)
+    files = spark.read.parquet(folder).where("Year = 2020 AND Mode IS NULL").select("_metadata.file_path").distinct()
+    rows = session_rows(spark, folder, [r[0] for r in files.collect()])
+    assert rows.inputFiles() and all("Year=2020" in f and "HIVE_DEFAULT" in f for f in rows.inputFiles())
+    assert {(r["Year"], r["Mode"]) for r in rows.collect()} == {(2020, None)}
+
+
+def test_the_ledger_leaves_equal_sessions_alone_and_survives_a_fault(spark, make_results, tmp_path, monkeypatch):
+    folder, bronze, checkpoint, root = (str(tmp_path / n) for n in ("raw", "bronze", "checkpoint", "ledger"))
+    rows = make_results(ROWS).withColumn("Mode", F.nullif("Mode", F.lit("Sprint")))
+    files = lambda: {p.name for p in (tmp_path / "bronze").rglob("*.parquet")}
+    run = lambda: ingest(spark, folder, bronze, checkpoint, ledger=root)
+    raw.land_sessions(rows, folder)
+    run()
+    before, entries = files(), {tuple(r) for r in ledger.read_ledger(spark, root).collect()}
+    assert sum(e[3] for e in entries) == 5 and all(e[4] for e in entries)
+    # The same rows again, in another order and in new files: nothing is written.
+    raw.land_sessions(rows.orderBy(F.col("DriverId").desc()), folder)
+    run()
+    assert files() == before and {tuple(r) for r in ledger.read_ledger(spark, root).collect()} == entries
+    # A fault after bronze is written, before the ledger is: the session counts as changed, also when the old rows come back.
+    plain, calls = ingest_module.write_ledger, []
+
+    def broken(*given):
+        calls.append(given)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        plain(*given)
+
+    monkeypatch.setattr(ingest_module, "write_ledger", broken)
+    raw.land_sessions(rows.where("Year = 2019").withColumn("Points", F.lit(1.0)), folder)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    monkeypatch.undo()
+    assert ledger.read_ledger(spark, root).where("Year = 2019 AND digest IS NULL").count() > 0
+    raw.land_sessions(rows.where("Year = 2019"), folder)
+    run()
+    assert {tuple(r) for r in ledger.read_ledger(spark, root).select(*schema.SESSION_KEY, "rows", "digest").collect()} == {
+        e[:5] for e in entries
+    }
+    stored = spark.read.schema(schema.RESULTS).parquet(bronze).select(*rows.columns)
+    assert stored.exceptAll(raw.normalise(rows)).count() == 0 and stored.count() == 5
+
+
+def test_digests_follow_rows_and_how_often_they_occur(make_results):
+    one = make_results(ROWS).where("Year = 2019").limit(1)
+    digest = lambda df: [tuple(r) for r in ledger.session_digests(df).collect()]
+    assert digest(one) != digest(one.unionByName(one)) and digest(one) == digest(one.repartition(3))
+    moved = one.withColumns({"Position": F.lit(None).cast("double"), "GridPosition": F.lit(3.0)})
+    other = one.withColumns({"Position": F.lit(3.0), "GridPosition": F.lit(None).cast("double")})
+    assert digest(moved) != digest(other)
+
+
 def test_layer_tables_names_and_replacement(spark, make_results, tmp_path):
     root = str(tmp_path / "silver")
     rows = make_results(ROWS)
