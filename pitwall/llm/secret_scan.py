@@ -1,11 +1,14 @@
 """Secrets in texts, with a random forest that removes false findings.
 
-Everything is DataFrame and ML operations of Spark. A word is a finding when it holds a
-long run of key characters with a digit. Findings in formats that leave no doubt are the
-labels: keys of providers and assignments to a name of a secret on one side; addresses,
-numbers, digests and paths on the other. The forest learns from length, character
-transitions, coverage by dictionary words, the path and the neighbouring words; the format
-rules themselves are not among its features. It gives every finding a probability.
+Everything is DataFrame and ML operations of Spark. Findings are taken inside words: runs
+of twelve key characters with a digit, whatever is assigned to the name of a secret (six
+characters, with or without digits, in the same word or the next), and passwords in the
+user part of a link. Findings in formats that leave no doubt are the labels: keys of
+providers, passwords of links and long assignments to a name of a secret on one side;
+addresses, numbers, digests, paths and dictionary words on the other. The forest learns
+from length, character transitions, coverage by words that are frequent in the corpus,
+the path and the neighbouring words; the format rules themselves are not among its
+features. It gives every finding a probability.
 """
 
 from __future__ import annotations
@@ -28,37 +31,70 @@ SEED = 17
 # Names of secrets, of other long values, and words that show a made-up one.
 SECRET_NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
 OTHER_NAMES = "sha1|sha256|md5|digest|hash|checksum|commit|uuid|guid|isbn|etag|revision|version|order|invoice|build"
-DICTIONARY = (
-    "example|sample|test|dummy|placeholder|changeme|your|mail|server|user|name|admin|data|file|home|http|https|www|com|org|net|"
-    "index|page|image|font|style|script|license|version|tion|ing|ment|ent|the|and|that|with|from|this"
-)
 TEST_PATHS = "test|example|sample|fixture|mock|demo|doc"
-RUN = r"[A-Za-z0-9_+/=-]{12,}"
+CONFIG_FILES = "env|ya?ml|json|ini|cfg|conf|properties|toml|pem|key"
+CODE_FILES = "py|js|ts|java|go|rb|c|cpp|rs|sh|sql"
+
+#: Characters of an assigned value at least, and of a run that stands by itself.
+SHORTEST = 6
+RUN_LENGTH = 12
+#: Findings in a word, in this order: the password of a link (1); a name (2) and its value (3); a run (4).
+IN_WORD = (
+    r"://[^\s:/@]*+:([^\s/@]{4,})@"
+    r"|([A-Za-z][A-Za-z0-9_.-]*+)[\"']?(?:=|:(?!//))[\"'(]*((?![A-Za-z]*+://)[^\s\"'&,;(){}<>]{" + str(SHORTEST) + r",})"
+    r"|([A-Za-z0-9_+/.~-]{" + str(RUN_LENGTH) + r",}={0,2})"
+)
+ASSIGNED = f"(?i)(?:{SECRET_NAMES})[\"']?[=:]"
+#: A dictionary word has four letters or more and stands in at least this many documents, and in one of so many of them.
+LEAST_DOCUMENTS = 3
+ONE_OF = 5_000
 
 FEATURES = (
     "length", "digits", "upper", "lower", "marks", "distinct", "to_digit", "to_letter", "to_upper", "pairs",
-    "hexadecimal", "covered", "quoted", "named", "other_named", "left_secret", "left_other", "right_sentence", "test_path", "path",
+    "hexadecimal", "covered", "quoted", "named", "other_named", "left_secret", "left_other", "right_sentence",
+    "test_path", "config_path", "code_path", "path_depth",
 )
 
 
+def dictionary(docs: DataFrame) -> DataFrame:
+    """token: the lower-cased words of letters that are frequent in the texts, by the documents that hold them."""
+    least = F.greatest(F.lit(LEAST_DOCUMENTS), F.col("documents") / ONE_OF)
+    texts = columns_of(docs, "text")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(whole()), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{4,40}(?![\p{L}\p{N}_])"), F.lit(0)))
+    counted = texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held_by"))
+    size = texts.agg(F.count(F.lit(1)).alias("documents"))
+    # One row with one number beside the words.
+    return counted.where(F.col("held_by") >= LEAST_DOCUMENTS).join(F.broadcast(size)).where(F.col("held_by") >= least).select("token")
+
+
 def findings(docs: DataFrame) -> DataFrame:
-    """doc_id, path, word_no (from 0), word, value, name, left, right of each finding.
+    """doc_id, path, word_no (from 0), run_no (in the word, from 0), word, value, name, left, right of each finding.
 
     `docs` has doc_id, text and source, which is the path. Words are cut at white space.
-    value is the word without the name assigned to, quotes and closing punctuation.
+    value is what was found, without the name assigned to, quotes and closing punctuation.
     """
     def of(words: F.Column) -> F.Column:
+        def word(i: F.Column) -> F.Column:
+            return F.get(words, i)
+
+        def assigned(i: F.Column) -> F.Column:
+            before = F.coalesce(word(i - 1), F.lit(""))
+            ended = before.endswith("=") | before.endswith(":")
+            return ended & F.concat(F.coalesce(word(i - 2), F.lit("")), before).rlike(ASSIGNED + "$")
+
         def wanted(i: F.Column) -> F.Column:
-            word = F.get(words, i)
-            return (F.length(word) >= 12) & word.rlike(RUN) & word.rlike("[0-9]")
+            run = word(i).rlike(f"[A-Za-z0-9_+/.~=-]{{{RUN_LENGTH}}}") & word(i).rlike("[0-9]")
+            inside = word(i).rlike("[=:]") & (word(i).rlike(ASSIGNED) | word(i).rlike("://[^/@]*:[^/@]*@"))
+            return (F.length(word(i)) >= SHORTEST) & (run | inside | assigned(i))
 
         def around(i: F.Column) -> F.Column:
-            before = [F.get(words, i - k) for k in (3, 2, 1)]
+            before = [word(i - k) for k in (3, 2, 1)]
             return F.struct(
                 i.alias("word_no"),
-                F.get(words, i).alias("word"),
+                word(i).alias("word"),
                 F.lower(F.concat_ws(" ", *before)).alias("left"),
-                F.coalesce(F.get(words, i + 1), F.lit("")).alias("right"),
+                F.coalesce(word(i + 1), F.lit("")).alias("right"),
+                assigned(i).alias("assigned"),
             )
 
         return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), wanted), around)
@@ -69,13 +105,37 @@ def findings(docs: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("path"),
         F.explode(F.get(F.transform(F.array(F.split(whole(), r"\s+")), of), F.lit(0))).alias("f"),
     ).select("doc_id", "path", "f.*")
-    name = F.regexp_extract("word", r"^[\"'(]*([A-Za-z][A-Za-z0-9_.-]*?)[\"']?[=:]", 1)
-    value = F.regexp_replace(F.regexp_replace("word", r"^[\"'(]*(?:[A-Za-z][A-Za-z0-9_.-]*?[\"']?[=:])?[\"'(]*", ""), r"[^A-Za-z0-9_+/=]+$", "")
-    return rows.withColumn("name", F.lower(name)).withColumn("value", value)
+    groups = [F.regexp_extract_all("word", F.lit(IN_WORD), F.lit(k)) for k in (1, 2, 3, 4)]
+    bare = F.regexp_replace("word", r"^[\"'(\[{<]+|[\"')\]}>,;.]+$", "")
+    named = F.regexp_extract("left", r"([a-z][a-z0-9_.-]*)[\"']?\s*[=:]$", 1)
+    inside = F.transform(
+        F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("link", "name", "value", "run"))]),
+        lambda g: F.struct(
+            F.when(g["link"] != "", "password").otherwise(F.lower(g["name"])).alias("name"),
+            F.regexp_replace(F.concat(g["link"], g["value"], g["run"]), r"[^A-Za-z0-9_+/=!$%*#-]+$", "").alias("value"),
+        ),
+    )
+    after = F.array(F.struct(named.alias("name"), bare.alias("value")))
+    found = rows.select(
+        "doc_id", "path", "word_no", "word", "left", "right",
+        F.posexplode(F.when(F.col("assigned") & ~F.col("word").rlike("://[^/@]*:[^/@]*@"), after).otherwise(inside)).alias("run_no", "f"),
+    ).select("doc_id", "path", "word_no", "run_no", "word", "f.value", "f.name", "left", "right")
+    secret = F.col("name").rlike(f"(?:{SECRET_NAMES})$") & (F.length("value") >= SHORTEST - 2)
+    return found.where(secret | ((F.length("value") >= RUN_LENGTH) & F.col("value").rlike("[0-9]")))
+
+
+def covered(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Adds covered, the share of a value's characters in dictionary words, cut at other characters and at case changes."""
+    numbered = stage(found.withColumn("_finding", F.monotonically_increasing_id()), "secret_numbered")
+    cut = F.split(F.lower(F.regexp_replace("value", r"(?<=\p{Ll})(?=\p{Lu})", " ")), r"[^\p{L}]+")
+    tokens = numbered.select("_finding", F.explode(F.filter(cut, lambda t: F.length(t) >= 4)).alias("token"))
+    sums = tokens.join(stage(words, "secret_dictionary"), "token").groupBy("_finding").agg(F.sum(F.length("token")).alias("letters"))
+    share = F.coalesce(F.col("letters"), F.lit(0)) / F.greatest(F.length("value"), F.lit(1))
+    return numbered.join(sums, "_finding", "left").withColumn("covered", share.cast("double")).drop("_finding", "letters")
 
 
 def described(found: DataFrame) -> DataFrame:
-    """Adds FEATURES, all numbers, and length n."""
+    """Adds the rest of FEATURES, all numbers, to findings with covered."""
     value, n = F.col("value"), F.greatest(F.length("value"), F.lit(1)).cast("double")
 
     def share(pattern: str) -> F.Column:
@@ -85,7 +145,6 @@ def described(found: DataFrame) -> DataFrame:
         return column.cast("double")
 
     left = F.col("left")
-    rest = F.length(F.regexp_replace(F.lower(value), f"(?:{DICTIONARY})", ""))
     return found.select(
         "*",
         n.alias("length"),
@@ -99,7 +158,6 @@ def described(found: DataFrame) -> DataFrame:
         share("[a-z](?=[A-Z])").alias("to_upper"),
         share("(?i)[bcdfghjklmnpqrstvwxz](?=[aeiouy])").alias("pairs"),
         flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")).alias("hexadecimal"),
-        (1 - rest / n).alias("covered"),
         flag(F.col("word").rlike("^.?[\"']|[=:][\"']")).alias("quoted"),
         flag(F.col("name").rlike(f"(?:{SECRET_NAMES})$")).alias("named"),
         flag(F.col("name").rlike(f"(?:{OTHER_NAMES})$")).alias("other_named"),
@@ -107,29 +165,52 @@ def described(found: DataFrame) -> DataFrame:
         flag(left.rlike(f"\\b(?:{OTHER_NAMES})[\"']?\\s*[=:]?$")).alias("left_other"),
         flag(F.col("right").rlike("^[a-z]+[,.]?$")).alias("right_sentence"),
         flag(F.lower("path").rlike(TEST_PATHS)).alias("test_path"),
-        F.pmod(F.xxhash64("path"), F.lit(16)).cast("double").alias("path_slot"),
-    ).withColumnRenamed("path_slot", "path_number")
+        flag(F.lower("path").rlike(f"(?:^|[./])(?:{CONFIG_FILES})$")).alias("config_path"),
+        flag(F.lower("path").rlike(f"[.](?:{CODE_FILES})$")).alias("code_path"),
+        F.regexp_count("path", F.lit("[/\\\\]")).cast("double").alias("path_depth"),
+    )
 
 
 def rule_label(found: DataFrame) -> DataFrame:
     """Adds rule, the format that settles a finding, and label, 1.0 or 0.0; both null where none does."""
-    value = F.col("value")
-    named = F.col("name").rlike(f"(?:{SECRET_NAMES})$") | F.col("left").rlike(f"(?:{SECRET_NAMES})[\"']?\\s*[=:]$")
+    value, word = F.col("value"), F.regexp_replace("word", r"^[\"'(<]+|[\"')>,;.!?]+$", "")
+    named = F.col("name").rlike(f"(?:{SECRET_NAMES})$")
+    made_up = F.lower(value).rlike("example|changeme|placeholder|your|[$][{(]|^[x*.]+$")
     rule = (
         F.when(value.rlike("^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "provider key")
         .when(value.rlike("^(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9._-]+)$"), "provider key")
-        .when(named & value.rlike("^[A-Za-z0-9_+/=-]{12,}$") & ~F.lower(value).rlike("example|changeme|placeholder|your"), "assignment")
-        .when(value.rlike("^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+$"), "address")
-        .when(value.rlike("^[a-z]+://"), "link")
-        .when(value.rlike("^[0-9 ()+.,:/-]+$"), "number")
-        .when(value.rlike("^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"), "uuid")
+        .when(word.rlike("://[^/@]*:[^/@]*@") & named & ~made_up & (F.col("covered") < 1), "link password")
+        .when(named & (F.col("covered") == 1), "named word")
+        .when(named & value.rlike("^[A-Za-z0-9_+/=-]{12,}$") & ~made_up, "assignment")
+        .when(word.rlike("^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+$"), "address")
+        .when(~named & word.rlike("^[a-z]+://"), "link")
+        .when(~named & word.rlike("^[0-9 ()+.,:/-]+$"), "number")
+        .when(~named & value.rlike("^[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$"), "uuid")
         .when(F.col("name").rlike(f"(?:{OTHER_NAMES})$") | F.col("left").rlike(f"\\b(?:{OTHER_NAMES})[\"']?\\s*[=:]$"), "digest")
-        .when(value.rlike("^[A-Za-z]+[0-9]{0,2}$") & ~value.rlike("^[A-Z0-9]+$"), "word")
+        .when(~named & value.rlike("^[A-Za-z]+[0-9]{0,2}$") & ~value.rlike("^[A-Z0-9]+$"), "word")
     )
-    label = F.when(rule.isin("provider key", "assignment"), 1.0).when(rule.isNotNull(), 0.0)
+    label = F.when(rule.isin("provider key", "link password", "assignment"), 1.0).when(rule.isNotNull(), 0.0)
     return found.withColumn("rule", rule).withColumn("label", label)
 
 
+#: Characters that stand in for hexadecimal digits in rewritten secrets.
+OTHER_CHARACTERS = "Kq7Zr-2LxW9mT4b!"
+
+
+def rewritten(labelled: DataFrame) -> DataFrame:
+    """The labelled findings, and of each assigned secret a short form, half of them in other characters.
+
+    Formats settle long values only, often all of one alphabet. Without short forms the
+    forest would take length and alphabet for what makes a secret.
+    """
+    draw = F.xxhash64("doc_id", "word_no", "run_no", "value")
+    short = F.substring("value", F.lit(1), (F.pmod(draw, F.lit(6)) + SHORTEST).cast("int"))
+    other = F.translate(short, "0123456789abcdef", OTHER_CHARACTERS)
+    forms = labelled.where(F.col("rule").isin("assignment", "link password")).drop(*[f for f in FEATURES if f != "covered"])
+    forms = described(forms.withColumn("value", F.when(F.pmod(draw, F.lit(4)) < 2, other).otherwise(short)))
+    return labelled.unionByName(forms)
+
+
 def _totals(labelled: DataFrame) -> dict[float, int]:
     """Rows of each label, by the label."""
     rows = labelled.where("label IS NOT NULL").groupBy(F.col("label").cast("double").alias("label")).count().orderBy("label")
@@ -137,18 +218,18 @@ def _totals(labelled: DataFrame) -> dict[float, int]:
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """One row for each finding: doc_id, word_no, value, rule, probability, is_secret.
+    """One row for each finding: doc_id, word_no, run_no, value, rule, probability, is_secret.
 
     `docs` has doc_id, text and source. `labelled` has the columns of `described` and
     label, 0.0 or 1.0; without it the findings a rule settles are the labels. About
-    SAMPLE / 2 of each label, drawn by a hash, are then fitted, all of a label that has
-    fewer, and both labels weigh the same, however rare one is. If only one label occurs,
+    SAMPLE / 2 of each label, drawn by a hash, are then fitted with their `rewritten`
+    forms, all of a label that has fewer, and both labels weigh the same before the forms are added, however rare one is. If only one label occurs,
     it is the probability of every finding; without any it is 0.5. A provider key has the
-    probability 1 whatever the forest says. A finding is a secret at CERTAIN or more. Null, empty and findingless texts give no row; repeated rows give theirs
-    again; a null source is an empty path; other columns are ignored.
+    probability 1 whatever the forest says. A finding is a secret at CERTAIN or more. Null, empty and
+    findingless texts give no row; repeated rows give theirs again; a null source is an empty path; other columns are ignored.
     """
-    found = stage(rule_label(described(findings(docs))), "secret_findings")
-    names = [("path_number" if f == "path" else f) for f in FEATURES]
+    found = stage(rule_label(described(covered(findings(docs), dictionary(docs)))), "secret_findings")
+    names = list(FEATURES)
     weight = F.lit(1.0)
     if labelled is None:
         labelled = found.where("label IS NOT NULL")
@@ -156,7 +237,8 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
         for label, total in totals.items():
             share = F.when(F.col("label") == label, int(min(1.0, SAMPLE / 2 / total) * (1 << 30))).otherwise(share)
             weight = F.when(F.col("label") == label, 1 / min(1.0, 2 * total / SAMPLE)).otherwise(weight)
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "word_no", "value"), F.lit(1 << 30)) < share)
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "word_no", "run_no", "value"), F.lit(1 << 30)) < share)
+        labelled = rewritten(labelled)
         kinds = list(totals)
     else:
         kinds = list(_totals(labelled))
@@ -173,5 +255,5 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     sure = F.coalesce(F.col("rule") == "provider key", F.lit(False))
     scored = scored.withColumn("probability", F.when(sure, 1.0).otherwise(F.col("probability")))
     return scored.select(
-        "doc_id", "word_no", "value", "rule", "probability", (F.col("probability") >= CERTAIN).alias("is_secret")
+        "doc_id", "word_no", "run_no", "value", "rule", "probability", (F.col("probability") >= CERTAIN).alias("is_secret")
     )
