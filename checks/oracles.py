@@ -267,6 +267,7 @@ SQL["season_domain"] = L.query(
     select="SELECT DISTINCT Year, Year = (SELECT max(Year) FROM scored) AS is_default FROM scored",
 )
 SQL["filter_entities_seasons"] = L.query(L.RESULTS, _SCORED, _CHOSEN, select="SELECT * FROM chosen")
+SQL["selected_from_stored"] = SQL["filter_entities_seasons"]
 SQL["pivot_probability"] = L.query(
     L.RESULTS,
     _SCORED,

@@ -82,6 +82,21 @@ def season_domain(scored: DataFrame) -> DataFrame:
     return seasons.select("Year", (F.col("Year") == F.max("Year").over(Window.partitionBy())).alias("is_default"))
 
 
+#: Writer options of the stored scores: a reader skips row groups whose filter does not hold an entity.
+SERVING_OPTIONS = {"parquet.bloom.filter.enabled#driver_team_id": "true"}
+
+
+def by_entity(scored: DataFrame) -> DataFrame:
+    """The scores as they are stored for reading by entity: cut into ranges of (entity, date), each sorted.
+
+    The ranges come from a sample of the rows, and the date splits an entity with very many
+    of them, so files are of like size. An entity is in few files, and their statistics
+    keep readers out of the others.
+    """
+    order = [F.col("driver_team_id").asc_nulls_first(), F.col("dt_ref").asc_nulls_first()]
+    return scored.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def filter_entities_seasons(scored: DataFrame, ids: Sequence[str], seasons: Sequence[int]) -> DataFrame:
     """Rows of the chosen entities in the chosen seasons."""
     return scored.where(F.col("driver_team_id").isin(list(ids)) & F.col("Year").isin(list(seasons)))

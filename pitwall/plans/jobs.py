@@ -122,7 +122,9 @@ def run_score(spark: SparkSession, bronze: str, silver: str, models: str, gold:
         raise FileNotFoundError(f"no model under {models}")
     abt = layers.read_table(spark, silver, "tb_abt")
     with staged_for_job(spark):
-        layers.write_table(score(model, abt, bronze_results(spark, bronze)), gold, "scored")
+        scored = stage(score(model, abt, bronze_results(spark, bronze)), "scored")
+        # Staged, as the ranges take a sample, for which all rows would be scored once more.
+        layers.write_table(serving.by_entity(scored), gold, "scored", **serving.SERVING_OPTIONS)
 
 
 def run_serving(spark: SparkSession, gold: str) -> None:

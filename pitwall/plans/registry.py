@@ -340,6 +340,15 @@ def filter_entities_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serving.filter_entities_seasons(scored, *serving.default_selection(scored))
 
 
+@query
+def selected_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default selection, read from scores stored by entity."""
+    root = staging_path(spark, "gold")
+    layers.write_table(serving.by_entity(stage(_scored(spark, sf_dir), "scored")), root, "scored", **serving.SERVING_OPTIONS)
+    stored = layers.read_table(spark, root, "scored")
+    return serving.filter_entities_seasons(stored, *serving.default_selection(stored))
+
+
 @query
 def pivot_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default pivot in long form: the names of the pivoted columns depend on the data."""

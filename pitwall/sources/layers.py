@@ -40,10 +40,11 @@ def read_table(
 
 
 def write_table(
-    df: DataFrame, root: str, name: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+    df: DataFrame, root: str, name: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options: str
 ) -> str:
     """Replace a layer table whole. Rows are written by the tasks that hold them, so the
-    number of files follows the data. The folder written to is returned.
+    number of files follows the data. The folder written to is returned. `options` go to
+    the writer.
 
     A plain file format gets a new version folder, which counts from the moment its write
     has finished: readers see the old table or the new one, and a plan may read the
@@ -51,7 +52,7 @@ def write_table(
     and what broken-off writes left below it are removed. One writer at a time.
     """
     spark, path = df.sparkSession, f"{root.rstrip('/')}/{name}"
-    writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "static").options(**options)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt not in PLAIN:

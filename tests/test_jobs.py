@@ -6,7 +6,8 @@ from pathlib import Path
 
 import pytest
 from checks.compare import differences
-from pitwall.operators import asof, features, forest
+from pyspark.sql import functions as F
+from pitwall.operators import asof, features, forest, serving
 from pitwall.plans import jobs
 from pitwall.session import stage, staged_for_job, staging_root
 from pitwall.sources import fixture, layers, publish, raw
@@ -104,3 +105,26 @@ def test_same_rows_and_seed_give_the_same_forest(spark):
         for _ in range(2)
     )
     assert differences(first, second) == ""
+
+
+def test_stored_scores_are_read_by_entity(spark, tmp_path):
+    """Most files and row groups are skipped, also where one entity holds a third of the rows, and none without a team is lost."""
+    entity = F.when(F.col("id") % 3 == 0, "hot_0").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("e_"), F.col("id") % 40))
+    scored = spark.range(30_000).select(
+        entity.alias("driver_team_id"), F.expr("date_add(DATE'2000-01-01', cast(id % 900 as int))").alias("dt_ref"), F.lit(2000).alias("Year"), "id"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layers.write_table(serving.by_entity(scored), str(tmp_path), "scored", **serving.SERVING_OPTIONS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    stored = layers.read_table(spark, str(tmp_path), "scored")
+    assert stored.exceptAll(scored).count() == 0 and stored.count() == 30_000
+    sizes = [r["count"] for r in stored.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 1.5 * min(sizes)
+    chosen = serving.filter_entities_seasons(stored, ["e_7"], [2000])
+    assert chosen.count() == scored.where("driver_team_id = 'e_7'").count() > 0
+    plan = chosen._jdf.queryExecution().executedPlan()
+    chosen._jdf.queryExecution().toRdd().count()
+    read = plan.collectLeaves().head().metrics().get("numOutputRows").get().value()
+    assert 0 < read < 15_000
