@@ -58,13 +58,11 @@ FEATURES = (
 
 def dictionary(docs: DataFrame) -> DataFrame:
     """token: the lower-cased words of letters that are frequent in the texts, by the documents that hold them."""
-    least = F.greatest(F.lit(LEAST_DOCUMENTS), F.col("documents") / ONE_OF)
     texts = columns_of(docs, "text")
     words = F.array_distinct(F.regexp_extract_all(F.lower(whole()), F.lit(r"(?<![\p{L}\p{N}_])\p{L}{4,40}(?![\p{L}\p{N}_])"), F.lit(0)))
     counted = texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held_by"))
-    size = texts.agg(F.count(F.lit(1)).alias("documents"))
-    # One row with one number beside the words.
-    return counted.where(F.col("held_by") >= LEAST_DOCUMENTS).join(F.broadcast(size)).where(F.col("held_by") >= least).select("token")
+    least = texts.agg(F.greatest(F.lit(LEAST_DOCUMENTS), F.count(F.lit(1)) / ONE_OF)).scalar()
+    return counted.where(F.col("held_by") >= least).select("token")
 
 
 def findings(docs: DataFrame) -> DataFrame:
