@@ -418,3 +418,5 @@ SQL["statistic_on_a_day"] = L.query(
 )
 SQL["champions_by_sql"] = L.query(L.RESULTS, L.CHAMPIONS, select="SELECT * FROM champions WHERE Year <= 2000")
 SQL["tb_abt_by_sql"] = SQL["tb_abt"]
+SQL["silver_after_reload"] = SQL["tb_abt"]
+SQL["consolidate_bucketed"] = SQL["consolidate_windows"]

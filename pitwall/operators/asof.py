@@ -139,27 +139,50 @@ def all_windows(
     """
     sessions = calendar(results, year_stop).session_windows(windows)
     spread = _spread(window_states(results, sessions, windows))
+    return _as_of(_gathered(spread, windows), sessions).select(*schema.FEATURE_KEY, *suffixed(windows))
+
+
+def windows_of_seasons(
+    results: DataFrame, session_windows: DataFrame, windows: Sequence[int], seasons: Sequence[int]
+) -> DataFrame:
+    """`all_windows` on the as-of dates of these seasons alone, with the column `season`.
+
+    `results` must hold all rows of the rounds that the longest window reaches on those
+    dates; other rows change nothing. States are cut to the stretch from the first to the
+    last of the dates before they are spread.
+    """
+    dates = session_windows.where(F.col("in_spine") & F.col("ref_year").isin(*seasons))
+    first, last = dates.agg(F.min("pos"), F.max("pos")).first()
+    if first is None:
+        first, last = 1, 0
+    states = window_states(results, session_windows, windows).where(f"pos <= {last} AND until > {first}")
+    cut = states.withColumns({"pos": F.greatest("pos", F.lit(first)), "until": F.least("until", F.lit(last + 1))})
+    found = _as_of(_gathered(_spread(cut), windows), dates)
+    return found.select(F.col("ref_year").alias("season"), *schema.FEATURE_KEY, *suffixed(windows))
+
+
+def _gathered(spread: DataFrame, windows: Sequence[int]) -> DataFrame:
+    """The windows of an entity and position side by side."""
     # One element per window length, so the list is as short as `windows`.
     gathered = spread.groupBy("DriverId", "pos").agg(
         F.max("last_year").alias("last_year"),
         F.expr(f"collect_list(struct(last_rounds, {', '.join(metrics.names())}))").alias("found"),
     )
-    wide = gathered.selectExpr(
+    return gathered.selectExpr(
         "DriverId",
         "pos",
         "last_year",
         *[f"try_element_at(filter(found, w -> w.last_rounds = {n}), 1) AS w_{n}" for n in windows],
     ).selectExpr("DriverId", "pos", "last_year", *[f"w_{n}.{name} AS {name}_{n}" for n in windows for name in metrics.names()])
-    return _as_of(wide, sessions).select(*schema.FEATURE_KEY, *suffixed(windows))
 
 
 def suffixed(windows: Sequence[int]) -> list[str]:
     return [f"{name}_{n}" for n in windows for name in metrics.names()]
 
 
-def one_window(wide: DataFrame, last_rounds: int) -> DataFrame:
+def one_window(wide: DataFrame, last_rounds: int, keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
     """The table of one window length, cut out of `all_windows` without moving rows."""
     present = wide.where(F.col(f"qty_sessions_{last_rounds}").isNotNull())
     return present.select(
-        *schema.FEATURE_KEY, *[F.col(f"{name}_{last_rounds}").alias(name) for name in metrics.names()]
+        *keys, *[F.col(f"{name}_{last_rounds}").alias(name) for name in metrics.names()]
     )

@@ -130,7 +130,11 @@ def spine_of(session_windows: DataFrame) -> DataFrame:
 
 def calendar(results: DataFrame, year_stop: int | None = None) -> Calendar:
     """Scan the results once for their session dates, stage those, number the dates."""
-    sessions = stage(session_dates(results), "sessions")
+    return calendar_of(stage(session_dates(results), "sessions"), year_stop)
+
+
+def calendar_of(sessions: DataFrame, year_stop: int | None = None) -> Calendar:
+    """The calendar of a stored table of `session_dates`."""
     in_order = Window.orderBy("date")
     one_season = F.min("Year").eqNullSafe(F.max("Year"))
     dates = (

@@ -35,6 +35,19 @@ def side_by_side(tables: Mapping[int, DataFrame], keys: Sequence[str] = schema.F
     return gathered.select(*keys, *columns)
 
 
+def side_by_side_buckets(tables: Mapping[int, DataFrame], keys: Sequence[str] = schema.FEATURE_KEY) -> DataFrame:
+    """`side_by_side` for catalog tables dealt into the same buckets by `keys`: joins that move no row. Each table has
+    one row per key; null keys are left out."""
+    renamed = []
+    for n, table in tables.items():
+        values = [F.col(c).alias(f"{c}_{n}") for c in table.columns if c not in keys]
+        renamed.append(table.select(*keys, *values))
+    wide = renamed[0].dropna(subset=list(keys))
+    for table in renamed[1:]:
+        wide = wide.join(table, list(keys))
+    return wide
+
+
 def present_everywhere(wide: DataFrame, windows: Sequence[int] = schema.WINDOWS) -> DataFrame:
     """Rows of `all_windows` that exist in every window, as an inner join would leave."""
     return wide.dropna(subset=[f"qty_sessions_{n}" for n in windows])

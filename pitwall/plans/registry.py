@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -12,7 +13,7 @@ from pitwall import schema
 from pitwall.functions import scalars
 from pitwall.operators import asof, calendar, coverage, features, forest, intervals, ranking, serving
 from pitwall.operators import champions as season
-from pitwall.plans import functions, jobs
+from pitwall.plans import functions, jobs, seasons
 from pitwall.session import stage, staging_path
 from pitwall.sources import layers, published, raw
 from pitwall.sources.fixture import publish_files, results, table
@@ -139,6 +140,18 @@ def consolidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.side_by_side(tables)
 
 
+@query
+def consolidate_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table from catalog tables found by name, each dealt into buckets of the same keys."""
+    root, prefix = staging_path(spark, "bucketed"), f"bucketed_{uuid.uuid4().hex[:12]}_"
+    wide = stage(asof.all_windows(results(spark, sf_dir)), "windows")
+    for n in schema.WINDOWS:
+        table = asof.one_window(wide, n)
+        layers.save_bucketed(table, root, f"{prefix}{n}", schema.FEATURE_KEY, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = sorted(layers.catalog_tables(spark, prefix), key=lambda name: int(name.removeprefix(prefix)))
+    return features.side_by_side_buckets({int(name.removeprefix(prefix)): spark.table(name) for name in stored})
+
+
 @query
 def tb_abt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _abt(spark, sf_dir)
@@ -458,6 +471,21 @@ def ingest_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unchanged_sessions(held, known).join(known, [*schema.SESSION_KEY, "rows"]).select(*schema.SESSION_KEY, "rows", "batch")
 
 
+@query
+def silver_after_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silver tables of results whose newest two seasons held other points, then of the true ones: the labelled table,
+    whose seasons in reach of the change were built again."""
+    silver, state = (staging_path(spark, n) for n in ("silver", "silver_state"))
+    rows = results(spark, sf_dir)
+    stale = F.when(F.col("Year") >= 1997, F.col("Points") + 1).otherwise(F.col("Points"))
+    for version in (rows.withColumn("Points", stale), rows):
+        bronze = staging_path(spark, "bronze")
+        version.write.partitionBy("Year").parquet(bronze)
+        stored = spark.read.schema(schema.RESULTS).parquet(bronze).select(*schema.RESULTS.fieldNames())
+        seasons.refresh_silver(spark, stored, session_digests(stored), silver, state)
+    return seasons.read_seasons(spark, silver, "tb_abt")
+
+
 @query
 def incremental_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New sessions where sprints have no mode: a stored session without a mode is not new."""

@@ -67,6 +67,25 @@ def write_table(
     return target
 
 
+def save_bucketed(df: DataFrame, root: str, name: str, keys: Sequence[str], buckets: int) -> str:
+    """Write a layer table as a catalog table, dealt into buckets by `keys` and sorted in them, one file each.
+
+    Tables of the same keys and number of buckets are joined or grouped on all of `keys`
+    without a shuffle. Name keys that hardly repeat together, as a bucket holds all rows of
+    its keys, and choose the number by the size of the largest table. The catalog has the
+    session's `name`; the files are under `root`.
+    """
+    dealt = df.repartition(buckets, *keys).write.mode("overwrite").option("path", f"{root.rstrip('/')}/{name}")
+    dealt.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return name
+
+
+def catalog_tables(spark: SparkSession, prefix: str) -> list[str]:
+    """Names of the stored tables of the current database that begin with `prefix`; views are left out."""
+    found = spark.catalog.listTables(pattern=f"{prefix}*")
+    return sorted(t.name for t in found if t.tableType != "TEMPORARY" and t.name.startswith(prefix))
+
+
 def publish_view(df: DataFrame, name: str) -> None:
     """Make `df` readable by name in this session."""
     df.createOrReplaceTempView(name)

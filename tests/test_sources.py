@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitwall import schema
 from pitwall.functions import scalars
+from pitwall.operators import features
 from pitwall.session import stage
 from pitwall.sources import layers, publish, raw
 from pitwall.streaming import ingest as ingest_module
@@ -240,3 +241,30 @@ def test_streamed_tables_are_found_and_partition_folders_not_entered(spark, make
     (root / "streamed" / "Year=2019").mkdir()
     (root / "Year=2020" / "x" / "_delta_log").mkdir(parents=True)
     assert publish.layer_tables(spark, str(root)) == [f"{root}/streamed"]
+
+
+def test_tables_in_buckets_of_one_key_are_joined_without_a_shuffle(spark, tmp_path):
+    key = ["dt_ref", "DriverId"]
+    rows = spark.range(400).selectExpr("date_add(date'2000-01-01', int(id % 20)) AS dt_ref", "string(id DIV 20) AS DriverId", "id AS v")
+    tables = {2: rows, 5: rows.where("v % 3 > 0").withColumn("v", F.col("v") * 2)}
+    for n, table in tables.items():
+        layers.save_bucketed(table, str(tmp_path), f"in_buckets_{n}", key, 4)
+    rows.createOrReplaceTempView("in_buckets_view")
+    names = layers.catalog_tables(spark, "in_buckets_")
+    assert names == ["in_buckets_2", "in_buckets_5"]
+    stored = {n: spark.table(f"in_buckets_{n}") for n in tables}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = features.side_by_side_buckets(stored)
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        grouped = wide.groupBy(*key).agg(F.sum("v_2"))
+        assert "Exchange" not in grouped._jdf.queryExecution().executedPlan().toString()
+        stacked = features.side_by_side(tables)
+        assert wide.columns == stacked.columns
+        assert wide.exceptAll(stacked).isEmpty() and stacked.exceptAll(wide).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.catalog.dropTempView("in_buckets_view")
+        for name in names:
+            spark.sql(f"DROP TABLE {name}")
