@@ -221,3 +221,21 @@ def test_no_cartesian_or_nested_loop(make_results):
     df = asof.driver_statistic(make_results(random_rows(1)), 3)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_partitions_follow_the_result_rows_and_not_their_bytes(spark, make_results, monkeypatch):
+    rows = [(f"d{i}", f"{2000 + k}-05-01", 1, "Race", 1.0, 2.0, 8.0, "Finished") for i in range(20) for k in range(3)]
+    results = make_results(rows)
+    sessions = calendar.calendar(results).session_windows([5, 10])
+    monkeypatch.setattr(asof, "ROWS_PER_TASK", 5, raising=False)
+    assert asof.window_states(results, sessions, [5, 10]).rdd.getNumPartitions() == 12
+
+
+def test_a_season_costs_no_event_of_its_own_where_its_last_row_leaves(spark, make_results):
+    rows = [("a", f"{2000 + k}-05-01", 1, "Race", 1.0, 2.0, 8.0, "Finished") for k in range(4)]
+    results = make_results(rows)
+    sessions = calendar.calendar(results).session_windows([2]).withColumnRenamed("pos", "enter")
+    visits = asof.entity_sessions(results).join(sessions, ["Year", "RoundNumber", "date"])
+    changes = asof._changes(asof._season_cover(visits, [2]), [2])
+    assert changes.count() == 8
+    assert changes.agg({"seasons": "sum"}).first()[0] == 0
