@@ -101,6 +101,15 @@ def test_wide_equals_joined_windows(make_results):
         assert differences(one.toPandas(), asof.driver_statistic(results, n).toPandas()) == ""
 
 
+@pytest.mark.parametrize("seed", [5, 7])
+def test_windows_of_one_pass_equal_single_ones(make_results, seed):
+    results = make_results(random_rows(seed))
+    found = asof.statistics_by_window(results, (1, 2, 5))
+    for n in (1, 2, 5):
+        one = found.where(f"last_rounds = {n}").drop("last_rounds")
+        assert differences(one.toPandas(), asof.driver_statistic(results, n).toPandas()) == ""
+
+
 ROW = ("Race", 1.0, 2.0, 25.0, "Finished")
 
 

@@ -8,6 +8,8 @@ import __spark_entry__ as entry
 from checks.compare import differences, duck
 
 from conftest import SF
+from pitwall import schema
+from pitwall.operators import asof
 
 ORACLES = entry.oracle_sql()
 
@@ -22,6 +24,16 @@ def test_query_equals_its_statement(spark, name):
     assert differences(ours, duck(SF).execute(ORACLES[name]).df()) == ""
 
 
+@pytest.mark.parametrize("name", ["consolidate_windows"])
+def test_stored_windows_take_one_pass_and_no_gathering(spark, name, monkeypatch):
+    passes, gathered = [], []
+    states, beside = asof.window_states, asof._gathered
+    monkeypatch.setattr(asof, "window_states", lambda rows, dates, windows: passes.append(tuple(windows)) or states(rows, dates, windows))
+    monkeypatch.setattr(asof, "_gathered", lambda spread, windows: gathered.append(windows) or beside(spread, windows))
+    entry.queries()[name](spark, SF)
+    assert (passes, gathered) == ([schema.WINDOWS], [])
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 47 and df.count() > 0
