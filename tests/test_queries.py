@@ -24,7 +24,7 @@ def test_query_equals_its_statement(spark, name):
     assert differences(ours, duck(SF).execute(ORACLES[name]).df()) == ""
 
 
-@pytest.mark.parametrize("name", ["consolidate_windows"])
+@pytest.mark.parametrize("name", ["consolidate_windows", "consolidate_bucketed"])
 def test_stored_windows_take_one_pass_and_no_gathering(spark, name, monkeypatch):
     passes, gathered = [], []
     states, beside = asof.window_states, asof._gathered
