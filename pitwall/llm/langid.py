@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitwall.llm.common import columns_of, text_rows
+from pitwall.llm.common import columns_of, giving_back, text_rows
 
 #: Bytes of text in a dictionary, dictionaries of a language, and texts drawn for them on average: bounds of the labelled
 #: sample. Of a drawn text no more characters are read than all dictionaries of a language have bytes.
@@ -168,6 +168,7 @@ def identify(docs: DataFrame, texts: dict[str, bytes], margin: float = MARGIN) -
 def accepted(docs: DataFrame, texts: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The rows of `docs`, all columns, that `identify` does not reject."""
 
+    @giving_back()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(texts)
         for batch in batches:

@@ -155,24 +155,62 @@ def _pack(slots: np.ndarray, tokens: np.ndarray, more: np.ndarray, keys: np.ndar
 
 
 def _unpack(batches: Iterator[pa.RecordBatch], token: type, more: type) -> tuple[np.ndarray, ...] | None:
-    parts: list[tuple] = []
-    for batch in batches:
-        for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
-            counts = np.frombuffer(row[4], np.uint32)
-            parts.append((
-                np.full(int(counts.sum()), row[0], np.int32),
-                np.frombuffer(row[1], token),
-                np.frombuffer(row[2], more),
-                np.repeat(np.frombuffer(row[3], np.uint64), counts),
-                np.repeat(np.frombuffer(row[5], np.int32), counts),
-            ))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else None
+    """The columns of all rows, laid out one after the other: beside the packed rows no column stands in memory twice."""
+    rows = [row for batch in batches for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True)]
+    if not rows:
+        return None
+    slots, tokens, mores, keys, counts, short = zip(*rows, strict=True)
+    del rows
+    each = np.frombuffer(b"".join(counts), np.uint32)
+    sizes = [len(x) // np.dtype(token).itemsize for x in tokens]
+    return (
+        np.repeat(np.array(slots, np.int32), sizes),
+        np.frombuffer(b"".join(tokens), token),
+        np.frombuffer(b"".join(mores), more),
+        np.repeat(np.frombuffer(b"".join(keys), np.uint64), each),
+        np.repeat(np.frombuffer(b"".join(short), np.int32), each),
+    )
 
 
 #: Frequency of a common shingle: after all others.
 _LAST = np.uint32(2**32 - 1)
 
 
+def _shared(batches: Iterator[pa.RecordBatch], slots: int) -> tuple[np.ndarray, ...] | None:
+    """(token, frequency, key, short) of the shingles of a slot that more than one set holds, and of marked ones.
+
+    Columns are let go as soon as the next is made: 61 bytes for each shingle at most were measured."""
+    got = _unpack(batches, np.uint32, np.uint8)
+    if got is None:
+        return None
+    slot, low, high, keys, short = got
+    marked = slot >= slots
+    # A common shingle keeps no slot of its own: its 40 bits name it.
+    tokens = np.where(marked, np.int32(0), slot).astype(np.uint64)
+    for bits, column in ((8, high), (32, low)):
+        tokens <<= np.uint64(bits)
+        tokens |= column
+    tokens[marked] |= np.uint64(1 << 63)
+    del got, slot, low, high, marked, column
+    order = np.lexsort((keys, tokens))
+    tokens, keys = tokens[order], keys[order]
+    short = short[order]
+    del order
+    first = np.ones(len(tokens), bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])  # copies of a set count once
+    tokens, keys = tokens[first], keys[first]
+    short = short[first]
+    starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
+    runs = np.diff(np.append(starts, len(tokens)))
+    del first, starts
+    times = np.repeat(runs.astype(np.uint32), runs)
+    times[tokens >= np.uint64(1 << 63)] = _LAST
+    keep = times >= 2
+    tokens, times, keys, short = tokens[keep], times[keep], keys[keep], short[keep]
+    order = np.argsort(keys, kind="stable")  # in runs of a key, as they are packed
+    return tokens[order], times[order], keys[order], short[order]
+
+
 def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
     """(a, b): ties between set keys, or between a key and the number of a common shingle.
 
@@ -214,6 +252,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
             # 40 bits beside the slot tell shingles apart; a clash only makes one seem more frequent.
             low = (all_tokens & np.uint64(2**32 - 1)).astype(np.uint32)
             high = (all_tokens >> np.uint64(56)).astype(np.uint8)
+            del all_tokens, marked
             return _pack(slot, low, high, all_keys, all_short)
 
         for (text,) in text_rows(batches, "text"):
@@ -237,29 +276,10 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
     @giving_back()
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shared shingles with their frequency, to the slot of their set."""
-        got = _unpack(batches, np.uint32, np.uint8)
-        if got is None:
-            return
-        slot, low, high, keys, short = got
-        marked = slot >= slots
-        spread = np.where(marked, 0, slot).astype(np.uint64)
-        # A common shingle keeps no slot of its own: its 40 bits name it.
-        tokens = (spread << np.uint64(40)) | (high.astype(np.uint64) << np.uint64(32)) | low
-        tokens[marked] |= np.uint64(1 << 63)
-        order = np.lexsort((keys, tokens))
-        tokens, keys, short = tokens[order], keys[order], short[order]
-        first = np.ones(len(tokens), bool)
-        first[1:] = (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])  # copies of a set count once
-        tokens, keys, short = tokens[first], keys[first], short[first]
-        starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        runs = np.diff(np.append(starts, len(tokens)))
-        times = np.repeat(runs, runs).astype(np.uint32)
-        times[tokens >= np.uint64(1 << 63)] = _LAST
-        keep = times >= 2
-        if keep.any():
-            tokens, times, keys, short = tokens[keep], times[keep], keys[keep], short[keep]
-            order = np.argsort(keys, kind="stable")
-            tokens, times, keys, short = tokens[order], times[order], keys[order], short[order]
+        got = _shared(batches, slots)
+        if got is not None and len(got[0]):
+            tokens, times, keys, short = got
+            del got
             yield _pack((keys % np.uint64(slots)).astype(np.int32), tokens, times, keys, short)
 
     @giving_back()
@@ -269,6 +289,7 @@ def candidate_edges(docs: DataFrame, described: DataFrame) -> DataFrame:
         if got is None:
             return
         _, tokens, times, keys, short = got
+        del got
         order = np.lexsort((tokens, times, keys))
         tokens, times, keys, short = tokens[order], times[order], keys[order], short[order]
         first = np.ones(len(tokens), bool)

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -107,6 +108,23 @@ def test_ngram_join_of_near_copies_chains_and_hot_passages(spark):
     assert joined(df) == linked(found)
 
 
+def test_counting_a_slot_holds_few_columns_at_a_time():
+    """Every shingle stands in two sets but for the last thousand: frequencies are right, and the memory of a slot is bounded."""
+    n, sets = 400_000, 400
+    tokens = np.concatenate([np.arange(n // 2), np.arange(n // 2 - 1000), np.arange(n, n + 1000)]).astype(np.uint64)
+    keys = np.repeat(np.arange(sets, dtype=np.uint64), n // sets)
+    packed = ngram_join._pack(np.zeros(n, np.int32), tokens.astype(np.uint32), np.zeros(n, np.uint8), keys, np.zeros(n, np.int32))
+    tracemalloc.start()
+    try:
+        out = list(ngram_join._shared(iter([packed]), 1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(out[0].tolist()) == sorted([*range(n // 2 - 1000)] * 2)
+    assert set(out[1].tolist()) == {2} and (np.diff(out[2].astype(np.int64)) >= 0).all()
+    assert peak < 90 * n
+
+
 def test_ngram_join_of_odd_rows(odd, none):
     rows = ngram_join.ngram_join(odd).collect()
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows}
