@@ -248,3 +248,20 @@ def test_a_season_costs_no_event_of_its_own_where_its_last_row_leaves(spark, mak
     changes = asof._changes(asof._season_cover(visits, [2]), [2])
     assert changes.count() == 8
     assert changes.agg({"seasons": "sum"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_many_rows_for_each_core_are_dealt_before_they_are_added_up(make_results, monkeypatch, seed):
+    results = make_results(random_rows(seed) * 2)
+    expected = asof.all_windows(results, [2, 3]).toPandas()
+    monkeypatch.setattr(asof, "ROWS_PER_CORE", 0)
+    assert differences(asof.all_windows(results, [2, 3]).toPandas(), expected) == ""
+
+
+def test_the_rows_of_one_entity_and_round_are_dealt_to_all_tasks(make_results, monkeypatch):
+    rows = [("a", "2001-03-01", 1, "Race", float(i % 20), float(i % 9), float(i % 7), "Finished") for i in range(2000)]
+    results = make_results(rows).coalesce(1)
+    assert asof._in_small_parts(results, 2000, 8).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(asof, "ROWS_PER_CORE", 100)
+    dealt = asof._in_small_parts(results, 2000, 8).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(dealt) == 2000 and len(dealt) == 8 and max(dealt) < 600
