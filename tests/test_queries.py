@@ -9,7 +9,7 @@ from checks.compare import differences, duck
 
 from conftest import SF
 from pitwall import schema
-from pitwall.operators import asof
+from pitwall.operators import asof, intervals
 
 ORACLES = entry.oracle_sql()
 
@@ -34,6 +34,13 @@ def test_stored_windows_take_one_pass_and_no_gathering(spark, name, monkeypatch)
     assert (passes, gathered) == ([schema.WINDOWS], [])
 
 
+def test_a_lookup_in_one_window_builds_no_other(spark, monkeypatch):
+    built, states = [], intervals.window_states
+    monkeypatch.setattr(intervals, "window_states", lambda rows, dates, windows: built.append(list(windows)) or states(rows, dates, windows))
+    entry.queries()["asof_any_date"](spark, SF)
+    assert built == [[5]]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 47 and df.count() > 0
