@@ -10,6 +10,7 @@ from checks.compare import differences, duck
 from conftest import SF
 from pitwall import schema
 from pitwall.operators import asof, intervals
+from pitwall.plans import registry
 
 ORACLES = entry.oracle_sql()
 
@@ -41,6 +42,15 @@ def test_a_lookup_in_one_window_builds_no_other(spark, monkeypatch):
     assert built == [[5]]
 
 
+@pytest.mark.parametrize("name", ["scored_with_team", "first_team"])
+def test_a_table_that_is_read_once_is_not_written_first(spark, name, monkeypatch):
+    staged, write = [], registry.stage
+    monkeypatch.setattr(registry, "_STORED", {})
+    monkeypatch.setattr(registry, "stage", lambda df, *names: staged.append(names[0]) or write(df, *names))
+    entry.queries()[name](spark, SF)
+    assert sorted(staged) == ["champions", "entities"]
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert len(df.columns) == 47 and df.count() > 0
