@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from pitwall.session import remove_folder
+from pitwall.session import remove_folder, writing
 
 #: Formats whose tables are replaced by a new version folder. Others bring snapshots of their own.
 PLAIN = ("parquet", "orc", "json", "csv")
@@ -80,6 +80,15 @@ def save_bucketed(df: DataFrame, root: str, name: str, keys: Sequence[str], buck
     return name
 
 
+def save_as_dealt(df: DataFrame, root: str, name: str, keys: Sequence[str], buckets: int, partition_by: str) -> str:
+    """`save_bucketed` with a folder for each value of `partition_by`, for rows that are dealt by `keys` to `buckets` tasks
+    already: none is moved, a task writes one file a folder. Rows dealt otherwise are stored as well, in more files."""
+    writer = df.write.mode("overwrite").option("path", f"{root.rstrip('/')}/{name}")
+    with writing(df.sparkSession):
+        writer.partitionBy(partition_by).bucketBy(buckets, *keys).saveAsTable(name)
+    return name
+
+
 def catalog_tables(spark: SparkSession, prefix: str) -> list[str]:
     """Names of the stored tables of the current database that begin with `prefix`; views are left out."""
     found = spark.catalog.listTables(pattern=f"{prefix}*")

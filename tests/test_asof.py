@@ -14,6 +14,7 @@ from checks import literal as L
 from checks.compare import differences
 from pitwall.functions import metrics
 from pitwall.operators import asof, calendar, coverage, features
+from pitwall.sources import layers
 
 LIMITED = L.KNOWN.replace("FROM results)", "FROM results WHERE Year IS NOT NULL AND Date IS NOT NULL)", 1)
 
@@ -110,6 +111,21 @@ def test_windows_of_one_pass_equal_single_ones(make_results, seed):
         assert differences(one.toPandas(), asof.driver_statistic(results, n).toPandas()) == ""
 
 
+@pytest.mark.parametrize("seed", [6, 8])
+def test_one_store_of_all_windows_gives_the_joined_table(spark, make_results, tmp_path, seed):
+    rows = make_results(random_rows(seed))
+    sessions = calendar.calendar(rows).session_windows((1, 2, 5))
+    statistics, (_, buckets) = asof.statistics_by_window(rows, (1, 2, 5), session_windows=sessions), asof.entity_tasks(rows, sessions)
+    name = layers.save_as_dealt(statistics, str(tmp_path), f"dealt_{seed}", ["DriverId"], buckets, "last_rounds")
+    # A task writes one file a window, at most.
+    assert all(len([*folder.glob("*.parquet")]) <= buckets for folder in (tmp_path / name).glob("last_rounds=*"))
+    found = features.side_by_side(spark.table(name), windows=(1, 2, 5))
+    joined = features.side_by_side({n: asof.driver_statistic(rows, n) for n in (1, 2, 5)})
+    assert found.columns == joined.columns
+    assert differences(found.toPandas(), joined.toPandas()) == ""
+    spark.sql(f"DROP TABLE {name}")
+
+
 ROW = ("Race", 1.0, 2.0, 25.0, "Finished")
 
 

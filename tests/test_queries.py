@@ -35,6 +35,11 @@ def test_stored_windows_take_one_pass_and_no_gathering(spark, name, monkeypatch)
     assert (passes, gathered) == ([schema.WINDOWS], [])
 
 
+def test_stored_windows_are_set_side_by_side_where_they_lie(spark):
+    plan = entry.queries()["consolidate_windows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan, plan
+
+
 def test_a_lookup_in_one_window_builds_no_other(spark, monkeypatch):
     built, states = [], intervals.window_states
     monkeypatch.setattr(intervals, "window_states", lambda rows, dates, windows: built.append(list(windows)) or states(rows, dates, windows))

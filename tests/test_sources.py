@@ -211,6 +211,19 @@ def test_scalars(spark):
     ]
 
 
+def test_what_a_staged_table_shuffled_goes_when_it_is_written(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_") and not n.endswith(".index")}
+
+    grouped, before, key = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), shuffled(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    staged = stage(grouped, "grouped")
+    assert shuffled() <= before and spark.conf.get(key) == was
+    assert sorted(staged.collect()) == sorted(grouped.collect())
+
+
 def test_stage_goes_to_the_configured_folder(spark, make_results):
     staged = stage(make_results(ROWS), "probe")
     folder = spark.conf.get("spark.checkpoint.dir")
