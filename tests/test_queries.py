@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 
 import __spark_entry__ as entry
@@ -40,6 +42,16 @@ def test_stored_windows_are_set_side_by_side_where_they_lie(spark):
     assert "Bucketed: true" in plan and "Exchange" not in plan, plan
 
 
+def test_results_that_are_replaced_are_not_kept(spark):
+    def folders():
+        root = Path(spark.conf.get("spark.checkpoint.dir")) / "pitwall"
+        return {p.name for p in root.glob("bronze-*")}
+
+    before = folders()
+    entry.queries()["silver_after_reload"](spark, SF)
+    assert folders() == before
+
+
 def test_a_lookup_in_one_window_builds_no_other(spark, monkeypatch):
     built, states = [], intervals.window_states
     monkeypatch.setattr(intervals, "window_states", lambda rows, dates, windows: built.append(list(windows)) or states(rows, dates, windows))
